@@ -30,7 +30,9 @@ def numbered(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
 def event_draws(spark: SparkSession, events: DataFrame, draws: int, tag: str = "ev") -> DataFrame:
     """(b, event, m): E events drawn with replacement in each draw."""
     e = numbered(events, [], "event")
-    slots = spark.range(draws).select(F.col("id").alias("b")).join(e.select("size", F.col("pos").alias("slot")), F.lit(True))
+    total = e.agg(F.count(F.lit(1)).alias("size"))
+    slots = spark.range(draws).select(F.col("id").alias("b")).withColumn("size", total.scalar()).select(
+        "b", "size", F.explode(F.expr("sequence(0L, size - 1)")).alias("slot"))
     picked = slots.select("b", (hash32(tag, F.col("b"), F.col("slot")) % F.col("size")).alias("pos"))
     return picked.join(e, "pos").groupBy("b", "event").agg(F.count(F.lit(1)).alias("m"))
 
@@ -38,7 +40,9 @@ def event_draws(spark: SparkSession, events: DataFrame, draws: int, tag: str = "
 def seed_draws(spark: SparkSession, runs: DataFrame, draws: int, unit: str = "system", tag: str = "sd") -> DataFrame:
     """(b, unit, seed, ms, n_seeds): each unit's seeds drawn with replacement in each draw."""
     s = numbered(runs, [unit], "seed")
-    slots = spark.range(draws).select(F.col("id").alias("b")).join(s.select(unit, "size", F.col("pos").alias("slot")), F.lit(True))
+    units = s.filter("pos = 0").agg(F.collect_list(F.struct(unit, "size")).alias("u"))  # one entry per system
+    slots = spark.range(draws).select(F.col("id").alias("b")).withColumn("u", units.scalar()).select("b", F.explode("u").alias("u")).select(
+        "b", "u.*", F.explode(F.expr("sequence(0L, u.size - 1)")).alias("slot"))
     picked = slots.select("b", unit, "size", (hash32(tag, F.col(unit), F.col("b"), F.col("slot")) % F.col("size")).alias("pos"))
     return picked.join(s.drop("size"), [unit, "pos"]).groupBy("b", unit, "seed").agg(
         F.count(F.lit(1)).alias("ms"), F.max("size").alias("n_seeds"))
@@ -112,7 +116,9 @@ def hierarchical_boot(spark: SparkSession, table: DataFrame, draws: int, by: Seq
     """
     e = numbered(table, by, "event")
     s = numbered(table, by, "seed")
-    slots = spark.range(draws).select(F.col("id").alias("b")).join(e.select(*by, "size", F.col("pos").alias("slot")), F.lit(True))
+    groups = e.filter("pos = 0").agg(F.collect_list(F.struct(*by, "size")).alias("u"))  # one entry per group
+    slots = spark.range(draws).select(F.col("id").alias("b")).withColumn("u", groups.scalar()).select("b", F.explode("u").alias("u")).select(
+        "b", "u.*", F.explode(F.expr("sequence(0L, u.size - 1)")).alias("slot"))
     picked = slots.select(*by, "b", "slot", (hash32("hev", F.col("b"), F.col("slot")) % F.col("size")).alias("pos")).join(
         e.select(*by, "event", "pos"), [*by, "pos"]).drop("pos")
     inner = picked.join(s.select(*by, "size", F.col("pos").alias("j")), list(by)).select(
