@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from gapcube.functions.columns import dbl, f1, ratio
 from gapcube.operators import cube as C
+from gapcube.session import written
 
 ARM = ("model", "seed", "arm")
 # which arms a run feeds: on all its items, on R items only, on T items only
@@ -26,14 +27,14 @@ ARMS = {"id_random": ("a", None, None), "id_random_dedup": ("ad", None, None), "
 
 def arm_cube(runs: DataFrame, classes: DataFrame) -> DataFrame:
     """One cube for all arms from one pass over (model, seed, run, item) predictions with holdout flags."""
-    pairs = C.pair_counts(runs, ("model", "seed", "run", "in_R", "in_T"))
+    pairs = written(C.pair_counts(runs, ("model", "seed", "run", "in_R", "in_T")), "pairs")
     arms = F.lit(None).cast("array<string>")
     for run, (whole, on_r, on_t) in ARMS.items():
         listed = F.array_compact(F.array(F.lit(whole), F.when(F.col("in_R"), F.lit(on_r)), F.when(F.col("in_T"), F.lit(on_t))))
         arms = F.when(F.col("run") == run, listed).otherwise(arms)
     each = pairs.select("model", "seed", F.explode(arms).alias("arm"), "event", "y_true", "y_pred", "n")
     summed = each.groupBy(*ARM, "event", "y_true", "y_pred").agg(F.sum("n").alias("n"))
-    cube = C.cube_from_pairs(summed, classes, ARM)
+    cube = written(C.cube_from_pairs(summed, classes, ARM), "arms")
     # a chronological run at full sample size is compared with the plain held-out run
     on = ["model", "seed", "event"]
     wants = cube.filter("arm = 'k'").select(*on).distinct().join(cube.filter("arm = 'n'").select(*on).distinct(), on, "left_anti")

@@ -12,12 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def sized(df: DataFrame) -> DataFrame:
-    """Materialise a reduced table so that the planner sees its true size and broadcasts it only below its threshold."""
-    out = df.persist()
-    out.count()
-    return out
+from gapcube.session import written
 
 
 def take_lowest(df: DataFrame, by: Sequence[str], levels: Sequence[Column], order: Sequence[Column],
@@ -43,7 +38,7 @@ def take_lowest(df: DataFrame, by: Sequence[str], levels: Sequence[Column], orde
         cuts = hist.withColumn("_q", left).filter("_upto - _n < _q AND _q <= _upto").select(
             *by, *[f"_c{n}" for n in fixed], F.col(name).alias(f"_c{name}"), (F.expr("_q - _upto + _n")).alias("_left"))
         fixed.append(name)
-        cuts = sized(cuts)
+        cuts = written(cuts, "cuts")  # one row per group; a stored table has a known size
     near = work.join(cuts, by)
     below, equal = F.lit(False), F.lit(True)
     for n in names:

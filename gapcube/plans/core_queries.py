@@ -12,6 +12,7 @@ from gapcube.operators import terms as G
 from gapcube.plans import sqlparts as S
 from gapcube.plans.fixtures import CUBE, H, MERGED, META, PRED, cube_sql
 from gapcube.plans.registry import query
+from gapcube.session import written
 
 B = 200
 WITH = "WITH " + CUBE
@@ -259,7 +260,7 @@ CUBE_T = ("WITH " + PRED + ", kt AS (SELECT * FROM (SELECT *, count(*) OVER (PAR
 def _(fx):
     cube = FL.cube_by_threshold(fx.pairs, fx.classes)
     keys = ("t", "system", "seed")
-    ft = C.cell_features(cube, keys).cache()
+    ft = written(C.cell_features(cube, keys), "features")
     point = C.scores(C.class_sums(ft, keys), keys).groupBy("t", "system").agg(F.avg("A_P").alias("A_P"), F.max("n_events").cast("bigint").alias("events"))
     ed = R.event_draws(fx.spark, fx.cube.select("event"), B)
     sd = R.seed_draws(fx.spark, fx.cube.select("system", "seed"), B)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapcube.functions.columns import hash32
 from gapcube.operators import cube as C
 from gapcube.operators import splits as SP
+from gapcube.session import written
 
 # Fixed values of the fixtures: (system, seed, accuracy in percent) and (run, accuracy, scope) of each model.
 SYSTEMS = [("sysA", "42", 70), ("sysA", "1", 70), ("sysA", "2", 70), ("sysB", "42", 60), ("sysB", "1", 60), ("sysZ", "0", 45)]
@@ -31,9 +32,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> "Fixture":
 
 
 def forget() -> None:
-    """Drop shared tables (the bench calls this so that every query pays for its own inputs)."""
-    for f in _CACHE.values():
-        f.spark.catalog.clearCache()
+    """Forget the stored tables (the bench calls this so that every query pays for its own inputs)."""
     _CACHE.clear()
 
 
@@ -79,15 +78,15 @@ class Fixture:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return C.pair_counts(self.pred).cache()
+        return written(C.pair_counts(self.pred), "pairs")
 
     @cached_property
     def cube(self) -> DataFrame:
-        return C.cube_from_pairs(self.pairs, self.classes).cache()
+        return written(C.cube_from_pairs(self.pairs, self.classes), "cube")
 
     @cached_property
     def features(self) -> DataFrame:
-        return C.cell_features(self.cube).cache()
+        return C.cell_features(self.cube)
 
     # --- time corpus: the events table, day = event
     @cached_property
@@ -109,11 +108,11 @@ class Fixture:
 
     @cached_property
     def splits(self) -> DataFrame:
-        return SP.split_items(self.emeta).cache()
+        return written(SP.split_items(self.emeta), "splits")
 
     @cached_property
     def pools(self) -> DataFrame:
-        return SP.chrono_pools(self.emeta).cache()
+        return written(SP.chrono_pools(self.emeta), "pools")
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -132,7 +131,7 @@ class Fixture:
     @cached_property
     def arms(self) -> DataFrame:
         from gapcube.operators.estimands import arm_cube
-        return arm_cube(self.runs, self.eclasses).cache()
+        return written(arm_cube(self.runs, self.eclasses), "arms")
 
     # --- text corpora
     @cached_property
