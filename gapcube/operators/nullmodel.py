@@ -18,10 +18,10 @@ from gapcube.functions.columns import dbl, hash32, ratio
 from gapcube.operators import cube as C
 
 
-@F.pandas_udf(T.LongType())
-def binomial_udf(n: pd.Series, p: pd.Series, seed: pd.Series) -> pd.Series:
-    """One binomial count per row, seeded by the row's own hash."""
-    return pd.Series([int(np.random.default_rng(int(s)).binomial(int(k), float(q))) for k, q, s in zip(n, p, seed)], dtype="int64")
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def binomial_udf(n: pd.Series, p: pd.Series, reps: pd.Series, seed: pd.Series) -> pd.Series:
+    """`reps` binomial counts per row, seeded by the row's own hash."""
+    return pd.Series([np.random.default_rng(int(s)).binomial(int(k), float(q), int(r)) for k, q, r, s in zip(n, p, reps, seed)])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -47,12 +47,13 @@ def with_rates(cube: DataFrame, by: Sequence[str], weight: str = "1L") -> DataFr
 
 def simulate(cells: DataFrame, reps: int, *key: str) -> DataFrame:
     """Replicate cells (rep, ..., tp, fp, fn) with counts redrawn under the rates."""
-    r = cells.withColumn("rep", F.explode(F.expr(f"sequence(0, {reps - 1})")))
-    parts = [F.col(k) for k in key] + [F.col("rep")]
-    t = binomial_udf(F.col("sup").cast("bigint"), "recall", hash32("tp", *parts))
-    p = binomial_udf((F.col("n_e") - F.col("sup")).cast("bigint"), "fpr", hash32("fp", *parts))
-    drop = ("tp", "fp", "fn", "s_c", "t_c", "p_c", "n_all", "recall", "fpr")
-    return r.withColumn("tp2", t).withColumn("fp2", p).drop(*drop).withColumnsRenamed({"tp2": "tp", "fp2": "fp"}).withColumn("fn", (F.col("sup") - F.col("tp")).cast("bigint")).drop("sup", "n_e")
+    parts = [F.col(k) for k in key]
+    t = binomial_udf(F.col("sup").cast("bigint"), "recall", F.lit(reps), hash32("tp", *parts))
+    p = binomial_udf((F.col("n_e") - F.col("sup")).cast("bigint"), "fpr", F.lit(reps), hash32("fp", *parts))
+    drop = ("tp", "fp", "fn", "n_e", "s_c", "t_c", "p_c", "n_all", "recall", "fpr", "_t", "_p")
+    r = cells.withColumn("_t", t).withColumn("_p", p).select("*", F.posexplode(F.arrays_zip("_t", "_p")).alias("rep", "_z"))
+    r = r.drop(*drop).select("*", F.col("_z._t").alias("tp"), F.col("_z._p").alias("fp"))
+    return r.withColumn("fn", (F.col("sup") - F.col("tp")).cast("bigint")).drop("sup", "_z")
 
 
 def fixed_rate_null(cube: DataFrame, reps: int = 200) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from gapcube.functions.columns import dbl, hash32
 from gapcube.operators.filters import text_digest
-from gapcube.operators.select import take_lowest_hash
+from gapcube.operators.select import take_lowest, take_lowest_hash
 
 CAP, CHRONO_MIN = 6000, 3000
 
@@ -80,6 +80,24 @@ def sample_heldout(meta: DataFrame, seeds: Sequence[str], cap: int = CAP, kind:
     return take_lowest_hash(with_draw(rows, "run_key", "seed", "item_id"), ["run_key", "seed"], "draw", "item_num", capped(cap)).drop("draw")
 
 
+def sample_chrono(meta: DataFrame, pools: DataFrame, seeds: Sequence[str], cap: int = CAP, chrono_min: int = CHRONO_MIN, carry: Sequence[str] = ()) -> DataFrame:
+    """Samples of every eligible chronological run: messages posted before the held-out event's first post."""
+    firsts = pools.filter(F.col("chrono_pool_n") >= chrono_min).agg(F.collect_list(F.struct("event", "first_post")).alias("f"))  # one entry per event
+    rows = meta.select("item_id", "item_num", "event", "posted_at", *carry).withColumn("f", firsts.scalar())
+    rows = rows.select("item_id", "item_num", "event", *carry, F.explode(F.expr("filter(f, x -> posted_at < x.first_post)")).alias("x"))
+    rows = rows.select("item_id", "item_num", "event", *carry, F.col("x.event").alias("held_out"), F.concat(F.lit("chrono:"), "x.event").alias("run_key"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    return take_lowest_hash(with_draw(rows, "run_key", "seed", "item_id"), ["run_key", "seed"], "draw", "item_num", capped(cap)).drop("draw")
+
+
+def sample_size_matched(meta: DataFrame, pools: DataFrame, seeds: Sequence[str], cap: int = CAP, chrono_min: int = CHRONO_MIN, carry: Sequence[str] = ()) -> DataFrame:
+    """Held-out samples of the size of the chronological run of the same event."""
+    wanted = pools.filter(F.col("chrono_pool_n") >= chrono_min).agg(F.collect_list(F.struct("event", F.least("chrono_pool_n", F.lit(cap)).alias("need"))).alias("w"))  # one entry per event
+    rows = meta.select("item_id", "item_num", "event", *carry).withColumn("w", wanted.scalar())
+    rows = rows.select("item_id", "item_num", "event", *carry, F.explode(F.expr("filter(w, x -> x.event <> event)")).alias("x"))
+    rows = rows.select("item_id", "item_num", "event", *carry, F.col("x.event").alias("held_out"), F.col("x.need").alias("need"), F.concat(F.lit("loeon:"), "x.event").alias("run_key"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    return _fill(with_draw(rows, "run_key", "seed", "item_id"), ("run_key", "seed", "need")).drop("draw", "need")
+
+
 def sample_paired(base: DataFrame, pool: DataFrame, run_key: str, cap: int = CAP) -> DataFrame:
     """Keep the base run's sample where the pool allows and fill up from the rest of the pool."""
     kept = base.join(pool.select("item_id"), "item_id", "left_semi").withColumn("run_key", F.lit(run_key))
@@ -95,10 +113,9 @@ def sample_paired(base: DataFrame, pool: DataFrame, run_key: str, cap: int = CAP
     return kept.select("run_key", "seed", "item_id", "item_num", "event").unionByName(fill.select("run_key", "seed", "item_id", "item_num", "event"))
 
 
-def _fill(rest: DataFrame) -> DataFrame:
-    """First `need` rows of each seed in hash order; `need` is constant inside a seed, so it is part of the group."""
-    from gapcube.operators.select import take_lowest
-    return take_lowest(rest, ["seed", "need"], [F.shiftright("draw", 16)], [F.col("draw"), F.col("item_num")], lambda n: F.least(n, F.col("need")))
+def _fill(rest: DataFrame, by: Sequence[str] = ("seed", "need")) -> DataFrame:
+    """First `need` rows of each group in hash order; `need` is constant inside a run, so it is part of the group."""
+    return take_lowest(rest, by, [F.shiftright("draw", 16)], [F.col("draw"), F.col("item_num")], lambda n: F.least(n, F.col("need")))
 
 
 def sample_fingerprint(sample: DataFrame, by: Sequence[str] = ("run_key", "seed")) -> DataFrame:

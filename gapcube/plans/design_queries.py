@@ -192,7 +192,7 @@ def _(fx):
     return rounded(x.groupBy("model").agg(*[f(c).alias(f"{c}_{n}") for c in ("E0D", "E1", "E2", "E3", "MC") for n, f in (("min", F.min), ("max", F.max))], F.count(F.lit(1)).alias("n_seeds")))
 
 
-INCOMPLETE = "cube WHERE NOT (system='sysB' AND seed='1' AND event >= 'M')"
+INCOMPLETE = "cube WHERE NOT (system='sysB' AND seed='1' AND event >= 'NATION_3')"
 
 
 @query("ES13_incomplete_runs", WITH + f", part AS (SELECT * FROM {INCOMPLETE}), " + S.events("ev", "part", "system, seed")
@@ -201,7 +201,7 @@ INCOMPLETE = "cube WHERE NOT (system='sysB' AND seed='1' AND event >= 'M')"
  FROM x i JOIN x r ON i.system=r.system AND i.event=r.event AND r.ok WHERE NOT i.ok GROUP BY ALL""")
 def _(fx):
     from gapcube.operators.validate import complete_seeds
-    part = fx.cube.filter("NOT (system = 'sysB' AND seed = '1' AND event >= 'M')")
+    part = fx.cube.filter("NOT (system = 'sysB' AND seed = '1' AND event >= 'NATION_3')")
     return rounded(E.incomplete_runs(C.event_scores(part), complete_seeds(part, fx.cube)))
 
 

@@ -148,6 +148,59 @@ class Fixture:
             F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("label"))
         return self.docs.join(lab, "item_id")
 
+    @cached_property
+    def dsplit(self) -> DataFrame:
+        """Documents with a random holdout flag."""
+        r = SP.random_holdout(self.docs).select("item_id", F.lit(True).alias("r"))
+        return written(self.docs.join(r, "item_id", "left").select(*self.docs.columns, F.coalesce("r", F.lit(False)).alias("in_R")), "dsplit")
+
+    @cached_property
+    def sims(self) -> DataFrame:
+        from gapcube.operators.similarity import max_similarity
+        return written(max_similarity(self.dsplit, 0.6), "sims")
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        """Labelled raw messages: some ids twice, some first copies empty, some without a label."""
+        d = self.table("documents").join(self.table("labels"), "doc_id", "left")
+        key = F.col("doc_id").cast("string")
+        label = F.coalesce(F.concat(F.lit(" q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"), F.lit(" ")), F.lit(""))
+        split = F.when(hash32("split", key) % 10 < 7, "train").when(hash32("split", key) % 10 < 8, "dev").otherwise("test")
+        base = d.select(key.alias("item_id"), F.col("source").alias("event"), split.alias("split"), F.when(hash32("blank", key) % 7 == 0, "").otherwise(F.col("text")).alias("text_raw"),
+                        label.alias("label"), F.col("doc_id").alias("source_order"), F.col("text").alias("whole"))
+        again = base.filter(hash32("dup", F.col("item_id")) % 5 == 0).select("item_id", "event", "split", F.col("whole").alias("text_raw"), F.lit("other").alias("label"), (F.col("source_order") + 1000000000).alias("source_order"))
+        return base.drop("whole").unionByName(again)
+
+    @cached_property
+    def canonical(self) -> DataFrame:
+        """A canonical corpus with times decoded from ids."""
+        from gapcube.operators.text import build_canonical, id_to_time
+        c = build_canonical(self.raw)
+        num = F.col("item_id").cast("bigint")
+        snow = F.shiftleft(num * 1000003, 22) + num
+        return c.select("*", num.alias("item_num"), id_to_time(snow).cast("timestamp_ntz").alias("posted_at"))
+
+    @cached_property
+    def run_tree(self) -> str:
+        """Prediction files below <root>/confirm/orders/<system>/seed<seed>/loeo__all."""
+        from gapcube.operators.models import score_arrays
+        from gapcube.session import scratch_path
+        from gapcube.sources.io import write_predictions
+        root = scratch_path(self.spark, "runs")
+        x = score_arrays(self.pred.withColumn("classes", self.classes.scalar()), F.col("classes"), scores_of("classes"))
+        x = x.select("system", "seed", "item_id", "event", "y_true", F.col("y_pred"), "p")
+        x = written(x, "scored")
+        names = self.classes.head()[0]
+        for system, seed, _ in SYSTEMS:
+            part = x.filter((F.col("system") == system) & (F.col("seed") == seed))
+            write_predictions(part, names, f"{root}/confirm/orders/{system}/seed{seed}/loeo__all")
+        return root
+
+
+def scores_of(classes: str):
+    """Class scores of an item: a hash per class, plus one for the predicted class."""
+    return F.transform(F.col(classes), lambda c: (hash32("p", F.col("item_id"), c) % 1000 + F.when(c == F.col("y_pred"), 1000).otherwise(0)) / 1000.0)
+
 
 # --- the same fixtures as SQL common table expressions
 def H(*parts: str) -> str:
@@ -205,6 +258,34 @@ def pools_sql(meta: str, name: str = "pools") -> str:
   FROM ev_{name} e LEFT JOIN {meta} m ON m.posted_at < e.first_post AND m.event <> e.event GROUP BY ALL)"""
 
 
+WS = r"\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}"
+
+
+def strip_sql(x):
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def norm_sql(x):
+    return strip_sql(f"regexp_replace(regexp_replace({x}, 'http[^{WS}]+', '[URL]', 'g'), '@[\\p{{L}}\\p{{N}}_]+', '[USER]', 'g')")
+
+
+def key_sql(x):
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({norm_sql(x)}), '^rt[{WS}]+\\[user\\]:?[{WS}]*', ''), '\\[url\\]|\\[user\\]', ' ', 'g'), '[^a-z0-9#]+', ' ', 'g'))"
+
+
+DOCS = f"""docs AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS item_id, doc_id AS item_num, source AS event, lang AS hazard, text, {key_sql('text')} AS text_norm FROM documents)"""
+DMETA = DOCS + """,
+dmeta AS MATERIALIZED (SELECT d.*, 'q' || quality || 't' || toxic AS label FROM docs d JOIN labels l ON CAST(l.doc_id AS VARCHAR) = d.item_id)"""
+DSPLIT = DOCS + f""",
+dsplit AS MATERIALIZED (SELECT * EXCLUDE (nr, rk), rk <= ceil(nr * 0.2::DOUBLE) AS in_R FROM (SELECT *, count(*) OVER (PARTITION BY event) AS nr,
+  row_number() OVER (PARTITION BY event ORDER BY {H("'R'", "'20260928'", 'item_id')}, item_num) AS rk FROM docs))"""
+RAW = f"""base AS (SELECT CAST(d.doc_id AS VARCHAR) AS item_id, source AS event, CASE WHEN {H("'split'", 'CAST(d.doc_id AS VARCHAR)')} % 10 < 7 THEN 'train' WHEN {H("'split'", 'CAST(d.doc_id AS VARCHAR)')} % 10 < 8 THEN 'dev' ELSE 'test' END AS split,
+  CASE WHEN {H("'blank'", 'CAST(d.doc_id AS VARCHAR)')} % 7 = 0 THEN '' ELSE text END AS text_raw, coalesce(' q' || quality || 't' || toxic || ' ', '') AS label, d.doc_id AS source_order, text AS whole FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+raw AS MATERIALIZED (SELECT item_id, event, split, text_raw, label, source_order FROM base UNION ALL SELECT item_id, event, split, whole, 'other', source_order + 1000000000 FROM base WHERE {H("'dup'", 'item_id')} % 5 = 0)"""
+CANON = RAW + f""",
+canon AS MATERIALIZED (SELECT item_id, CAST(item_id AS BIGINT) AS item_num, event, split, trim(label) AS label, {norm_sql('text_raw')} AS text, {key_sql('text_raw')} AS text_norm,
+  CASE WHEN regexp_matches(text_raw, '^RT[{WS}]+@') THEN 1 ELSE 0 END AS is_retweet, epoch_ms(CAST(item_id AS BIGINT) * 1000003 + 1288834974657) AS posted_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY source_order) AS rn FROM raw WHERE text_raw <> '' AND trim(label) <> '') WHERE rn = 1)"""
 RUNS_SQL = EMETA + ",\n" + split_sql("emeta") + ",\n" + pools_sql("emeta") + f""",
 runs AS MATERIALIZED (
   SELECT s.model, s.seed, s.run, x.item_id, x.event, x.in_R, x.in_T, x.label AS y_true,
