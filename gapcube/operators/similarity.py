@@ -2,15 +2,19 @@
 
 Equal texts are collapsed first, so a group of copies is one vector. Pairs are generated from prefixes: grams of a text
 are ordered rare first, and two texts with cosine >= t must share a gram of both prefixes, where a prefix ends once the
-norm of the rest falls below t. Candidates are then scored on their whole vectors, so nothing is approximated or capped.
+norm of the rest falls below t. Candidate texts are then compared block by block on their whole vectors, so nothing is
+approximated or capped. Texts are normalised keys (ASCII), so a gram is an exact number of at most five bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gapcube.functions.columns import dbl, hash32
@@ -20,12 +24,47 @@ from gapcube.session import written
 STRATA = ((0.0, 0.5), (0.5, 0.8), (0.8, 1.01))
 BANDS = ((0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 0.999), (0.999, 1.01))
 EPS = 1e-9
-
-
-def char_grams(text: str) -> Column:
-    """Character 3- to 5-grams inside words padded with one space on each side."""
-    return F.expr(f"""flatten(transform(split({text}, ' '), w -> flatten(transform(array(3, 4, 5), n ->
-        if(length(w) + 2 >= n, transform(sequence(1, length(w) + 3 - n), i -> substr(concat(' ', w, ' '), i, n)), array())))))""")
+BLOCK = 128  # texts compared together on each side
+COUNTS = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+VECTOR = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("tail", T.ArrayType(T.DoubleType()))])
+
+
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Character 3- to 5-grams inside words padded with one space on each side, as numbers, with their counts."""
+    b = np.frombuffer((" " + text + " ").encode("ascii"), dtype=np.uint8).astype(np.int64)
+    space = b == 32
+    found = []
+    for n in (3, 4, 5):
+        size = len(b) - n + 1
+        if size <= 0 or not text:
+            continue
+        code, inner = np.zeros(size, np.int64), np.zeros(size, bool)
+        for k in range(n):
+            code = (code << 8) | b[k:k + size]
+            if 0 < k < n - 1:
+                inner |= space[k:k + size]
+        found.append(code[~inner])
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+@F.pandas_udf(COUNTS)
+def gram_counts(texts: pd.Series) -> pd.DataFrame:
+    pairs = [count_grams(t) for t in texts]
+    return pd.DataFrame({"g": [p[0] for p in pairs], "tf": [p[1].astype(np.int32) for p in pairs]})
+
+
+@F.pandas_udf(VECTOR)
+def rare_first(df: pd.Series, g: pd.Series, x: pd.Series) -> pd.DataFrame:
+    """Unit vector with grams in (document frequency, gram) order, and the norm of the vector from each gram on."""
+    gs, ws, tails = [], [], []
+    for d, k, v in zip(df, g, x):
+        order = np.lexsort((k, d))
+        w = np.asarray(v, float)[order]
+        w = w / np.sqrt((w * w).sum())
+        gs.append(np.asarray(k)[order])
+        ws.append(w)
+        tails.append(np.sqrt(np.cumsum((w * w)[::-1])[::-1]))
+    return pd.DataFrame({"g": gs, "w": ws, "tail": tails})
 
 
 def representatives(corpus: DataFrame) -> DataFrame:
@@ -34,33 +73,60 @@ def representatives(corpus: DataFrame) -> DataFrame:
 
 
 def gram_weights(corpus: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, gram, w, tail): unit-norm weights and the norm of the vector from this gram on, in rare-first order.
+    """(rep, g, w, tail): unit-norm vectors of the distinct texts, grams rare first.
 
     Sublinear term frequency and smoothed inverse document frequency over all rows (copies included).
     """
+    spark = corpus.sparkSession
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n"))
-    texts = corpus.select(F.col("item_num").alias("rep"), "text_norm").join(reps.select("rep", "copies"), "rep")
-    tf = texts.select("rep", "copies", F.explode(char_grams("text_norm")).alias("gram")).groupBy("rep", "gram").agg(
-        F.count(F.lit(1)).alias("tf"), F.max("copies").alias("copies"))
-    df = tf.groupBy("gram").agg(F.sum("copies").alias("df"))
-    raw = tf.join(df, "gram").withColumn("n", n_docs.scalar()).select(
+    texts = corpus.select(F.col("item_num").alias("rep"), "text_norm").filter("text_norm <> ''").join(reps.select("rep", "copies"), "rep")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = written(texts.repartition(parts, "rep").select("rep", "copies", gram_counts("text_norm").alias("c")).select("rep", "copies", "c.g", "c.tf"), "grams")
+    df = written(counted.select("copies", F.explode("g").alias("gram")).groupBy("gram").agg(F.sum("copies").alias("df")), "df")
+    postings = counted.select("rep", F.explode(F.arrays_zip("g", "tf")).alias("z")).select("rep", F.col("z.g").alias("gram"), F.col("z.tf").alias("tf"))
+    raw = postings.join(df, "gram").withColumn("n", n_docs.scalar()).select(
         "rep", "gram", "df", ((1.0 + F.log(dbl("tf"))) * (F.log((1.0 + dbl("n")) / (1.0 + dbl("df"))) + 1.0)).alias("x"))
-    doc = Window.partitionBy("rep")
-    rare_first = doc.orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)
-    w = raw.select("rep", "gram", "x", F.sum(F.col("x") * F.col("x")).over(doc).alias("total"), F.coalesce(F.sum(F.col("x") * F.col("x")).over(rare_first), F.lit(0.0)).alias("before"))
-    return w.select("rep", "gram", (F.col("x") / F.sqrt("total")).alias("w"), F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("before") / F.col("total"))).alias("tail"))
+    docs = raw.groupBy("rep").agg(F.collect_list(F.struct("df", "gram", "x")).alias("e"))  # the grams of one text
+    return docs.select("rep", rare_first("e.df", "e.gram", "e.x").alias("v")).select("rep", "v.*")
+
+
+def _block_dots(threshold: float):
+    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"l": [], "r": [], "sim": []}
+        if len(left) and len(right):
+            vocabulary = np.unique(np.concatenate(right["g"].to_numpy()))
+            table = np.zeros((len(vocabulary), len(right)))
+            for j, (g, w) in enumerate(zip(right["g"], right["w"])):
+                table[np.searchsorted(vocabulary, g), j] = w
+            ids = right["rep"].to_numpy()
+            for rep, g, w in zip(left["rep"], left["g"], left["w"]):
+                at = np.searchsorted(vocabulary, g).clip(max=len(vocabulary) - 1)
+                known = vocabulary[at] == g
+                dots = np.asarray(w)[known] @ table[at[known]]
+                hit = np.flatnonzero((dots >= threshold - EPS) & (ids != rep))
+                out["l"].extend([rep] * len(hit))
+                out["r"].extend(ids[hit])
+                out["sim"].extend(dots[hit])
+        return pd.DataFrame(out).astype({"l": "int64", "r": "int64", "sim": "float64"})
+    return fn
 
 
 def similar_pairs(weights: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(l, r, sim) of all pairs of distinct texts with cosine at or above the threshold. `left`, `right` hold `rep`."""
-    prefix = weights.filter(F.col("tail") >= threshold - EPS).select("rep", "gram")
+    """(l, r, sim) of all pairs of distinct texts with cosine at or above the threshold. `left`, `right` hold `rep`.
+
+    Texts with a candidate are sent once per block pair, not once per candidate, and a block holds about BLOCK texts.
+    """
+    kept = F.expr(f"slice(g, 1, size(filter(tail, x -> x >= {threshold - EPS}D)))")
+    prefix = weights.select("rep", F.explode(kept).alias("gram"))
     a = prefix.join(left.select("rep"), "rep", "left_semi").select(F.col("rep").alias("l"), "gram")
     b = prefix.join(right.select("rep"), "rep", "left_semi").select(F.col("rep").alias("r"), "gram")
     candidates = a.join(b, "gram").filter("l <> r").select("l", "r").distinct()
-    wl = weights.select(F.col("rep").alias("l"), "gram", F.col("w").alias("wl"))
-    wr = weights.select(F.col("rep").alias("r"), "gram", F.col("w").alias("wr"))
-    dots = candidates.join(wl, "l").join(wr, ["r", "gram"]).groupBy("l", "r").agg(F.sum(F.col("wl") * F.col("wr")).alias("sim"))
-    return dots.filter(F.col("sim") >= threshold - EPS)
+    size = weights.agg(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))).alias("n"))
+    blocks = written(candidates.withColumn("n", size.scalar()).select("l", "r", F.pmod(F.xxhash64("l"), "n").alias("bl"), F.pmod(F.xxhash64("r"), "n").alias("br")), "candidates")
+    lv = blocks.select("bl", "br", F.col("l").alias("rep")).distinct().join(weights.select("rep", "g", "w"), "rep")
+    rv = blocks.select("bl", "br", F.col("r").alias("rep")).distinct().join(weights.select("rep", "g", "w"), "rep")
+    lv, rv = (d.toDF("rep", "bl", "br", "g", "w") for d in (lv, rv))  # fresh columns: both sides come from one table
+    return lv.groupBy("bl", "br").cogroup(rv.groupBy("bl", "br")).applyInPandas(_block_dots(threshold), "l bigint, r bigint, sim double")
 
 
 def max_similarity(corpus: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -517,10 +517,10 @@ PROB = PRED + f""", sx AS (SELECT system, seed, p.item_id, p.event, cls, ({H("'p
  pb AS MATERIALIZED (SELECT system, seed, item_id, event, cls, exp(s-max(s) OVER i)/sum(exp(s)) OVER i*exp(max(s) OVER i) AS pr FROM sx WINDOW i AS (PARTITION BY system, seed, item_id))"""
 
 
-@query("S3_read_probabilities", "WITH " + PROB + " SELECT event, cls, count(*) AS n, round(avg(pr), 3) + 0.0::DOUBLE AS mean_p FROM pb GROUP BY ALL")
+@query("S3_read_probabilities", "WITH " + PROB + " SELECT event, cls, count(*) AS n, round(avg(round_even(pr, 4)), 6) + 0.0::DOUBLE AS mean_p FROM pb GROUP BY ALL")
 def _(fx):
     x = IO.read_scored(fx.spark, files(fx)).select("event", F.explode("p").alias("cls", "pr"))
-    return x.groupBy("event", "cls").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pr"), 3).alias("mean_p"))
+    return x.groupBy("event", "cls").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("pr"), 6) + F.lit(0.0)).alias("mean_p"))
 
 
 @query("S4_path_keys", "WITH " + PRED + " SELECT 'confirm' AS plan, 'orders' AS corpus, system AS model, seed, 'loeo:all' AS run_key, count(*) AS n FROM pred GROUP BY ALL")
@@ -668,15 +668,15 @@ def _(fx):
 
 
 # ---------------------------------------------------------------- M: models
-TERMS_SQL = r"""tk AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM dmeta), tm AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i+1]))) AS term FROM tk),
+TERMS_SQL = r"""tk AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM dmeta), to_ AS MATERIALIZED (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM tk), tm AS (SELECT item_id, word AS term FROM to_ UNION ALL SELECT * FROM (SELECT item_id, word || ' ' || lead(word) OVER (PARTITION BY item_id ORDER BY pos) AS term FROM to_) WHERE term IS NOT NULL),
  tf AS MATERIALIZED (SELECT item_id, term, count(*) AS tf FROM tm GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*)>=2),
  tx AS (SELECT item_id, term, (1+ln(tf))*(ln((1+(SELECT count(*) FROM dmeta))/(1.0::DOUBLE+df))+1) AS x FROM tf JOIN df USING (term)), tw AS (SELECT item_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY item_id)) AS w FROM tx)"""
 
 
-@query("M1_tfidf_weights", "WITH " + DMETA + ", " + TERMS_SQL + f" SELECT item_id, count(*) AS n_terms, {S.r('sum(w)', 'sum_w')}, {S.r('max(w)', 'max_w')}, {S.r('sum(w*w)', 'norm2')} FROM tw GROUP BY item_id")
+@query("M1_tfidf_weights", "WITH " + DMETA + ", " + TERMS_SQL + f" SELECT item_id, count(*) AS n_terms, round(sum(w), 6) AS sum_w, {S.r('max(w)', 'max_w')}, {S.r('sum(w*w)', 'norm2')} FROM tw GROUP BY item_id")
 def _(fx):
     w = M.tfidf_weights(fx.dmeta.select("item_id", "text"))
-    return rounded(w.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("w").alias("sum_w"), F.max("w").alias("max_w"), F.sum(F.col("w") * F.col("w")).alias("norm2")))
+    return rounded(w.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 6).alias("sum_w"), F.max("w").alias("max_w"), F.sum(F.col("w") * F.col("w")).alias("norm2")))
 
 
 def fit_corpus(fx):
@@ -700,20 +700,19 @@ def _(fx):
     return pred.select("run_key", "seed", "item_id", "event", "y_true", "y_pred")
 
 
-@query("M4_argmax_softmax", "WITH " + PROB + f", tp_ AS (SELECT system, seed, item_id, arg_min(cls, (-s, cls)) AS y_pred FROM sx GROUP BY ALL) SELECT system, seed, event, cls, count(*) FILTER (y_pred=cls) AS n_pred, round(avg(pr), 4) + 0.0::DOUBLE AS mean_p FROM pb JOIN tp_ USING (system, seed, item_id) GROUP BY ALL")
+@query("M4_argmax_softmax", "WITH " + PROB + f", tp_ AS (SELECT system, seed, item_id, arg_min(cls, (-s, cls)) AS y_pred FROM sx GROUP BY ALL) SELECT system, seed, event, cls, count(*) FILTER (y_pred=cls) AS n_pred, round(avg(round_even(pr, 4)), 6) + 0.0::DOUBLE AS mean_p FROM pb JOIN tp_ USING (system, seed, item_id) GROUP BY ALL")
 def _(fx):
     x = M.score_arrays(fx.pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"))
     e = x.select("system", "seed", "event", F.col("y_pred").alias("top"), F.explode("p").alias("cls", "pr"))
-    return e.groupBy("system", "seed", "event", "cls").agg(F.count(F.when(F.col("top") == F.col("cls"), 1)).alias("n_pred"), (F.round(F.avg("pr"), 4) + F.lit(0.0)).alias("mean_p"))
+    return e.groupBy("system", "seed", "event", "cls").agg(F.count(F.when(F.col("top") == F.col("cls"), 1)).alias("n_pred"), (F.round(F.avg("pr"), 6) + F.lit(0.0)).alias("mean_p"))
 
 
 @query("M5_prior_matching", "WITH " + PROB + """, q AS (SELECT system, seed, event, y_true AS cls, count(*) AS c FROM pred GROUP BY ALL), m AS (SELECT system, seed, event, cls, avg(pr) AS mp, count(*) AS n FROM pb GROUP BY ALL),
  rt AS (SELECT m.system, m.seed, m.event, m.cls, (coalesce(c,0)/n::DOUBLE+1e-4)/(mp+1e-4) AS r FROM m LEFT JOIN q USING (system, seed, event, cls)), ad AS (SELECT pb.system, pb.seed, pb.event, pb.item_id, arg_min(pb.cls, (-(pr*r), pb.cls)) AS y FROM pb JOIN rt USING (system, seed, event, cls) GROUP BY ALL)
  SELECT system, seed, event, count(*) AS n, count(*) FILTER (y=y_true) AS n_right_after, count(*) FILTER (y_pred=y_true) AS n_right_before FROM ad JOIN pred USING (system, seed, event, item_id) GROUP BY ALL""")
 def _(fx):
-    s = scores_of("classes")
-    x = fx.pred.withColumn("classes", fx.classes.scalar()).withColumn("_s", s).withColumn("_e", F.transform("_s", lambda v: F.exp(v))).withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
-    scored = x.select("system", "seed", "event", "item_id", "y_true", "y_pred", F.map_from_arrays("classes", F.transform("_e", lambda v: v / F.col("_t"))).alias("p"))
+    scored = M.score_arrays(fx.pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"), None)
+    scored = scored.select("system", "seed", "event", "item_id", "y_true", "y_pred", "p")
     m = M.prior_match(scored, C.RUN)
     return m.groupBy("system", "seed", "event").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("y_matched") == F.col("y_true"), 1)).alias("n_right_after"), F.count(F.when(F.col("y_pred") == F.col("y_true"), 1)).alias("n_right_before"))
 
