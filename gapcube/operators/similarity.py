@@ -24,7 +24,8 @@ from gapcube.session import written
 STRATA = ((0.0, 0.5), (0.5, 0.8), (0.8, 1.01))
 BANDS = ((0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 0.999), (0.999, 1.01))
 EPS = 1e-9
-BLOCK = 128  # texts compared together on each side
+BLOCK = 512  # texts sent together on each side
+CHUNK = 64  # texts multiplied together inside a block
 COUNTS = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
 VECTOR = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("tail", T.ArrayType(T.DoubleType()))])
 
@@ -90,42 +91,55 @@ def gram_weights(corpus: DataFrame, reps: DataFrame) -> DataFrame:
     return docs.select("rep", rare_first("e.df", "e.gram", "e.x").alias("v")).select("rep", "v.*")
 
 
+def _dense(gs, ws, vocabulary: np.ndarray) -> np.ndarray:
+    table = np.zeros((len(gs), len(vocabulary)))
+    for i, (g, w) in enumerate(zip(gs, ws)):
+        at = np.searchsorted(vocabulary, g).clip(max=len(vocabulary) - 1)
+        known = vocabulary[at] == g
+        table[i, at[known]] = np.asarray(w)[known]
+    return table
+
+
 def _block_dots(threshold: float):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"l": [], "r": [], "sim": []}
         if len(left) and len(right):
             vocabulary = np.unique(np.concatenate(right["g"].to_numpy()))
-            table = np.zeros((len(vocabulary), len(right)))
-            for j, (g, w) in enumerate(zip(right["g"], right["w"])):
-                table[np.searchsorted(vocabulary, g), j] = w
-            ids = right["rep"].to_numpy()
-            for rep, g, w in zip(left["rep"], left["g"], left["w"]):
-                at = np.searchsorted(vocabulary, g).clip(max=len(vocabulary) - 1)
-                known = vocabulary[at] == g
-                dots = np.asarray(w)[known] @ table[at[known]]
-                hit = np.flatnonzero((dots >= threshold - EPS) & (ids != rep))
-                out["l"].extend([rep] * len(hit))
-                out["r"].extend(ids[hit])
-                out["sim"].extend(dots[hit])
+            step = int(np.clip((1 << 23) // len(vocabulary), 4, CHUNK))  # bounds the dense tables
+            ls, rs = left["rep"].to_numpy(), right["rep"].to_numpy()
+            for i in range(0, len(ls), step):
+                a = _dense(left["g"].iloc[i:i + step], left["w"].iloc[i:i + step], vocabulary)
+                for j in range(0, len(rs), step):
+                    dots = a @ _dense(right["g"].iloc[j:j + step], right["w"].iloc[j:j + step], vocabulary).T
+                    x, y = np.nonzero((dots >= threshold - EPS) & (ls[i:i + step, None] != rs[None, j:j + step]))
+                    out["l"].extend(ls[i + x])
+                    out["r"].extend(rs[j + y])
+                    out["sim"].extend(dots[x, y])
         return pd.DataFrame(out).astype({"l": "int64", "r": "int64", "sim": "float64"})
     return fn
 
 
+def _blocked(side: DataFrame, name: str) -> DataFrame:
+    """(rep, block): about BLOCK texts per block."""
+    n = side.agg(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))).alias("n"))
+    return written(side.select("rep").withColumn("n", n.scalar()).select("rep", F.pmod(F.xxhash64("rep"), "n").alias(name)), name)
+
+
 def similar_pairs(weights: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(l, r, sim) of all pairs of distinct texts with cosine at or above the threshold. `left`, `right` hold `rep`.
 
-    Texts with a candidate are sent once per block pair, not once per candidate, and a block holds about BLOCK texts.
+    A text meets the blocks of the other side that share a prefix gram with it: prefix grams are joined with distinct
+    (gram, block) rows, so a common gram costs one row per block instead of one per pair of texts. Each text is sent once
+    per block it meets, and each block pair is compared as a matrix product.
     """
     kept = F.expr(f"slice(g, 1, size(filter(tail, x -> x >= {threshold - EPS}D)))")
     prefix = weights.select("rep", F.explode(kept).alias("gram"))
-    a = prefix.join(left.select("rep"), "rep", "left_semi").select(F.col("rep").alias("l"), "gram")
-    b = prefix.join(right.select("rep"), "rep", "left_semi").select(F.col("rep").alias("r"), "gram")
-    candidates = a.join(b, "gram").filter("l <> r").select("l", "r").distinct()
-    size = weights.agg(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))).alias("n"))
-    blocks = written(candidates.withColumn("n", size.scalar()).select("l", "r", F.pmod(F.xxhash64("l"), "n").alias("bl"), F.pmod(F.xxhash64("r"), "n").alias("br")), "candidates")
-    lv = blocks.select("bl", "br", F.col("l").alias("rep")).distinct().join(weights.select("rep", "g", "w"), "rep")
-    rv = blocks.select("bl", "br", F.col("r").alias("rep")).distinct().join(weights.select("rep", "g", "w"), "rep")
-    lv, rv = (d.toDF("rep", "bl", "br", "g", "w") for d in (lv, rv))  # fresh columns: both sides come from one table
+    lp = written(prefix.join(_blocked(left, "bl"), "rep"), "left")
+    rp = written(prefix.join(_blocked(right, "br"), "rep"), "right")
+    meets_l = lp.join(rp.select("gram", "br").distinct(), "gram").select("rep", "bl", "br").distinct()
+    meets_r = rp.join(lp.select("gram", "bl").distinct(), "gram").select("rep", "bl", "br").distinct()
+    vectors = weights.select("rep", "g", "w")
+    lv, rv = (m.join(vectors, "rep").toDF("rep", "bl", "br", "g", "w") for m in (meets_l, meets_r))
     return lv.groupBy("bl", "br").cogroup(rv.groupBy("bl", "br")).applyInPandas(_block_dots(threshold), "l bigint, r bigint, sim double")
 
 

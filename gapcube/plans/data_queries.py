@@ -517,10 +517,10 @@ PROB = PRED + f""", sx AS (SELECT system, seed, p.item_id, p.event, cls, ({H("'p
  pb AS MATERIALIZED (SELECT system, seed, item_id, event, cls, exp(s-max(s) OVER i)/sum(exp(s)) OVER i*exp(max(s) OVER i) AS pr FROM sx WINDOW i AS (PARTITION BY system, seed, item_id))"""
 
 
-@query("S3_read_probabilities", "WITH " + PROB + " SELECT event, cls, count(*) AS n, round(avg(round_even(pr, 4)), 6) + 0.0::DOUBLE AS mean_p FROM pb GROUP BY ALL")
+@query("S3_read_probabilities", "WITH " + PROB + " SELECT event, cls, count(*) AS n, CAST(sum(round(round_even(pr, 4) * 10000)) AS BIGINT) AS sum_p_e4 FROM pb GROUP BY ALL")
 def _(fx):
     x = IO.read_scored(fx.spark, files(fx)).select("event", F.explode("p").alias("cls", "pr"))
-    return x.groupBy("event", "cls").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("pr"), 6) + F.lit(0.0)).alias("mean_p"))
+    return x.groupBy("event", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("pr") * 10000).cast("bigint")).alias("sum_p_e4"))
 
 
 @query("S4_path_keys", "WITH " + PRED + " SELECT 'confirm' AS plan, 'orders' AS corpus, system AS model, seed, 'loeo:all' AS run_key, count(*) AS n FROM pred GROUP BY ALL")
@@ -700,11 +700,11 @@ def _(fx):
     return pred.select("run_key", "seed", "item_id", "event", "y_true", "y_pred")
 
 
-@query("M4_argmax_softmax", "WITH " + PROB + f", tp_ AS (SELECT system, seed, item_id, arg_min(cls, (-s, cls)) AS y_pred FROM sx GROUP BY ALL) SELECT system, seed, event, cls, count(*) FILTER (y_pred=cls) AS n_pred, round(avg(round_even(pr, 4)), 6) + 0.0::DOUBLE AS mean_p FROM pb JOIN tp_ USING (system, seed, item_id) GROUP BY ALL")
+@query("M4_argmax_softmax", "WITH " + PROB + f", tp_ AS (SELECT system, seed, item_id, arg_min(cls, (-s, cls)) AS y_pred FROM sx GROUP BY ALL) SELECT system, seed, event, cls, count(*) FILTER (y_pred=cls) AS n_pred, CAST(sum(round(round_even(pr, 4) * 10000)) AS BIGINT) AS sum_p_e4 FROM pb JOIN tp_ USING (system, seed, item_id) GROUP BY ALL")
 def _(fx):
     x = M.score_arrays(fx.pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"))
     e = x.select("system", "seed", "event", F.col("y_pred").alias("top"), F.explode("p").alias("cls", "pr"))
-    return e.groupBy("system", "seed", "event", "cls").agg(F.count(F.when(F.col("top") == F.col("cls"), 1)).alias("n_pred"), (F.round(F.avg("pr"), 6) + F.lit(0.0)).alias("mean_p"))
+    return e.groupBy("system", "seed", "event", "cls").agg(F.count(F.when(F.col("top") == F.col("cls"), 1)).alias("n_pred"), F.sum(F.round(F.col("pr") * 10000).cast("bigint")).alias("sum_p_e4"))
 
 
 @query("M5_prior_matching", "WITH " + PROB + """, q AS (SELECT system, seed, event, y_true AS cls, count(*) AS c FROM pred GROUP BY ALL), m AS (SELECT system, seed, event, cls, avg(pr) AS mp, count(*) AS n FROM pb GROUP BY ALL),
