@@ -11,8 +11,8 @@ from gapcube.operators import resample as R  # noqa: E402
 from gapcube.plans import catalog, fixtures  # noqa: E402
 from gapcube.session import local_session  # noqa: E402
 
-QUERIES = ["C6_scores", "C14_scorer_agreement", "G4_closed_forms", "FL1_scores_min_cell_15", "FL3_gap_by_threshold", "FL6_cross_event_duplicates", "FL7_within_event_duplicates",
-           "V8_validation_report", "P2_temporal_holdout", "P5_training_plan", "P10_training_samples", "ES2_estimands", "G11_headline_shares", "R19_fixed_rate_null", "K2_paired_bootstrap",
+QUERIES = ["C6_scores", "FL3_gap_by_threshold", "FL6_cross_event_duplicates", "FL7_within_event_duplicates",
+           "V8_validation_report", "P2_temporal_holdout", "P10_training_samples", "G11_headline_shares", "R19_fixed_rate_null", "K2_paired_bootstrap",
            "N4_near_duplicates", "N7_canonical_corpus", "N10_event_profile", "M1_tfidf_weights", "M4_argmax_softmax", "M5_prior_matching"]
 DRAWS = 2000
 

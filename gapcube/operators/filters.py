@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from gapcube.functions.columns import dbl
 from gapcube.operators import cube as C
+from gapcube.session import written
 
 THRESHOLDS = (5, 10, 15, 20, 30)
 
@@ -107,7 +108,7 @@ def cross_event_duplicates(corpus: DataFrame) -> DataFrame:
     The grouped side has one row per text that really spans events; the rows of a hot text stay on the streamed side of
     the join, where adaptive skew handling may split them.
     """
-    keyed = corpus.select("item_id", "event", text_digest().alias("k"))
+    keyed = written(corpus.select("item_id", "event", text_digest().alias("k")), "keys")  # texts are normalised once
     shared = keyed.groupBy("k").agg(F.min("event").alias("a"), F.max("event").alias("b")).filter("a <> b").select("k")
     return keyed.join(shared, "k", "left_semi").select("item_id", "event")
 

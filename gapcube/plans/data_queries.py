@@ -702,7 +702,7 @@ def _(fx):
 
 @query("M4_argmax_softmax", "WITH " + PROB + f", tp_ AS (SELECT system, seed, item_id, arg_min(cls, (-s, cls)) AS y_pred FROM sx GROUP BY ALL) SELECT system, seed, event, cls, count(*) FILTER (y_pred=cls) AS n_pred, CAST(sum(round(round_even(pr, 4) * 10000)) AS BIGINT) AS sum_p_e4 FROM pb JOIN tp_ USING (system, seed, item_id) GROUP BY ALL")
 def _(fx):
-    x = M.score_arrays(fx.pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"))
+    x = M.score_arrays(fx.stored_pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"))
     e = x.select("system", "seed", "event", F.col("y_pred").alias("top"), F.explode("p").alias("cls", "pr"))
     return e.groupBy("system", "seed", "event", "cls").agg(F.count(F.when(F.col("top") == F.col("cls"), 1)).alias("n_pred"), F.sum(F.round(F.col("pr") * 10000).cast("bigint")).alias("sum_p_e4"))
 
@@ -711,7 +711,7 @@ def _(fx):
  rt AS (SELECT m.system, m.seed, m.event, m.cls, (coalesce(c,0)/n::DOUBLE+1e-4)/(mp+1e-4) AS r FROM m LEFT JOIN q USING (system, seed, event, cls)), ad AS (SELECT pb.system, pb.seed, pb.event, pb.item_id, arg_min(pb.cls, (-(pr*r), pb.cls)) AS y FROM pb JOIN rt USING (system, seed, event, cls) GROUP BY ALL)
  SELECT system, seed, event, count(*) AS n, count(*) FILTER (y=y_true) AS n_right_after, count(*) FILTER (y_pred=y_true) AS n_right_before FROM ad JOIN pred USING (system, seed, event, item_id) GROUP BY ALL""")
 def _(fx):
-    scored = M.score_arrays(fx.pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"), None)
+    scored = M.score_arrays(fx.stored_pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"), None)
     scored = scored.select("system", "seed", "event", "item_id", "y_true", "y_pred", "p")
     m = M.prior_match(scored, C.RUN)
     return m.groupBy("system", "seed", "event").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("y_matched") == F.col("y_true"), 1)).alias("n_right_after"), F.count(F.when(F.col("y_pred") == F.col("y_true"), 1)).alias("n_right_before"))

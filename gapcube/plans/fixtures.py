@@ -19,6 +19,7 @@ RUNS = [("id_random", 75, "R"), ("id_random_dedup", 74, "R"), ("id_random_fuzzyd
         ("id_random_full", 77, "R"), ("id_temporal", 72, "T"), ("id_temporal_dedup", 71, "T"), ("loeo", 65, "A"),
         ("loeo_mask", 60, "A"), ("loeo_full", 67, "A"), ("chrono", 60, "E"), ("loeok", 61, "E"), ("loeon", 63, "S")]
 CHRONO_MIN, CAP = 1000, 3000
+FACTS = ("orders", "events", "documents")
 MERGED = {"2-HIGH": "1-URGENT"}
 
 _CACHE: dict[tuple, "Fixture"] = {}
@@ -49,7 +50,10 @@ class Fixture:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A driver table; a fact table stored in fewer splits than there are cores is spread before the heavy work."""
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in FACTS and df.rdd.getNumPartitions() < cores else df
 
     # --- main corpus: orders of customers, nation = event, order priority = class
     @cached_property
@@ -76,6 +80,11 @@ class Fixture:
         return x.select("s.system", "s.seed", "item_id", "event", F.col("label").alias("y_true"),
                         F.when(hit, F.col("label")).otherwise(alt).alias("y_pred"))
 
+    @cached_property
+    def stored_pred(self) -> DataFrame:
+        """The predictions as a stored table, as a run leaves them."""
+        return written(self.pred, "pred")
+
     @cached_property
     def pairs(self) -> DataFrame:
         return written(C.pair_counts(self.pred), "pairs")
@@ -187,7 +196,7 @@ class Fixture:
         from gapcube.session import scratch_path
         from gapcube.sources.io import write_predictions
         root = scratch_path(self.spark, "runs")
-        x = score_arrays(self.pred.withColumn("classes", self.classes.scalar()), F.col("classes"), scores_of("classes"))
+        x = score_arrays(self.stored_pred.withColumn("classes", self.classes.scalar()), F.col("classes"), scores_of("classes"))
         x = x.select("system", "seed", "item_id", "event", "y_true", F.col("y_pred"), "p")
         x = written(x, "scored")
         names = self.classes.head()[0]
