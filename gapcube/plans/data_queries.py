@@ -592,9 +592,7 @@ def _(fx):
     x = fx.raw.select("event", "split", F.struct("item_id", "text_raw", "label").alias("m"), (hash32(F.col("item_id")) % 64).alias("g"))
     arrays = x.groupBy("event", "split", "g").agg(F.to_json(F.collect_list("m")).alias("value"))  # blocks of one file's messages
     arrays.select(F.col("event").alias("event_dir"), F.col("split").alias("split_dir"), "value").write.partitionBy("event_dir", "split_dir").option("lineSep", "\n").text(path)
-    lines = fx.spark.read.option("basePath", path).text(path).select("event_dir", "split_dir", F.explode(F.from_json("value", "ARRAY<STRUCT<item_id: STRING, text_raw: STRING, label: STRING>>")).alias("m"))
-    rows = lines.select(F.col("event_dir").alias("event"), F.col("split_dir").alias("split"), "m.*").withColumn("label", F.trim("label"))
-    return raw_summary(rows, "event", "split", "label")
+    return raw_summary(IO.read_raw_json(fx.spark, path + "/*/*", multi_line=False), "event", "split", "label")
 
 
 INDEX_SQL = PART_COMPLETE + ", ix AS (SELECT system, 'orders' AS corpus, string_agg(seed, ',' ORDER BY CAST(seed AS BIGINT)) AS seeds, 'runs/orders/' || system || '/seed{seed}/*' AS preds, 'meta.tsv' AS meta FROM cs WHERE complete GROUP BY system)"

@@ -126,9 +126,9 @@ def read_raw_csv(spark: SparkSession, path: str, descriptions: str) -> DataFrame
     return rows.withColumn("label", F.trim("label")).join(desc.select("event", hazard.alias("hazard")), "event", "left")
 
 
-def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of messages below <event>/<split>."""
-    raw = spark.read.option("multiLine", True).schema("item_id STRING, text_raw STRING, label STRING").json(path)
+def read_raw_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON arrays of messages below <event>/<split>: one array per file, or one per line (which splits)."""
+    raw = spark.read.option("multiLine", multi_line).schema("item_id STRING, text_raw STRING, label STRING").json(path)
     where = r"(?:event_dir=)?([^/=]+)/(?:split_dir=)?([^/=]+?)(?:\.json)?(?:/part-[^/]*)?$"
     named = raw.select("*", F.regexp_extract(F.col("_metadata.file_path"), where, 1).alias("event"), F.regexp_extract(F.col("_metadata.file_path"), where, 2).alias("split"))
     return blank_strings(named).withColumn("label", F.trim("label"))
