@@ -153,9 +153,9 @@ def signatures(scores: DataFrame, fingerprint: DataFrame, meta: DataFrame, min_c
     """The string that states how each summary was computed."""
     n_all = meta.agg(F.countDistinct("event").alias("n"))
     each = scores.select("system", "seed", F.col("n_events").cast("bigint").alias("n"), F.explode(F.array(*map(F.lit, C.CONVENTIONS))).alias("labels")).select(
-        "*", F.explode(F.array(F.lit("pooled"), F.lit("per-event-mean"), F.lit("difference"))).alias("summary"))
+        "*", F.explode(F.array(F.lit("pooled"), F.lit("per-event"), F.lit("difference"))).alias("summary"))
     each = each.withColumn("meta", fingerprint.scalar()).withColumn("n_all", n_all.scalar())
     events = F.concat(F.col("n").cast("string"), F.when(F.col("n") < F.col("n_all"), "+partial").otherwise(""))
     return each.select("system", "seed", "labels", "summary", F.concat(
-        F.lit("macro-f1|summary:"), "summary", F.lit("|labels:"), "labels", F.lit("|zero-div:0|events:"), events,
-        F.lit(f"|min-cell:{min_cell}|meta:"), "meta", F.lit("|v:1")).alias("signature"))
+        F.lit("loeo-macro-f1|summary:"), "summary", F.lit("|labels:"), "labels", F.lit("|zero-div:0|events:"), events,
+        F.lit(f"|min-cell:{min_cell}|meta:"), "meta", F.lit("|v:1.2.0")).alias("signature"))

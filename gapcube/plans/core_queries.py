@@ -72,16 +72,11 @@ def _(fx):
     return rounded(C.event_scores(fx.cube).select("system", "seed", "event", "n", "n_present", "f1_P", "f1_D", "f1_O"))
 
 
-SUMMARIES = ("pooled", "per-event-mean", "difference")
-FORMAT = "macro-f1|summary:{}|labels:{}|zero-div:0|events:{}|min-cell:{}|meta:{}|v:1"
-META_SHA = "sha256(string_agg(item_id || chr(9) || event || chr(9) || hazard || chr(9) || label, chr(10) ORDER BY item_id))"
-
-
 @query("C7_signatures", "WITH " + PRED + f""", h AS (SELECT event, bit_xor(CAST(('0x' || substr(md5(item_id||'|'||event||'|'||hazard||'|'||label),1,15)) AS BIGINT)) AS x FROM meta GROUP BY event),
  fp AS (SELECT substr(sha256(string_agg(event || ':' || x, ',' ORDER BY event)), 1, 12) AS f FROM h), e AS (SELECT system, seed, count(DISTINCT event) AS n FROM pred GROUP BY ALL),
  a AS (SELECT count(DISTINCT event) AS n_all FROM meta)
- SELECT system, seed, c.conv AS labels, s.s AS summary, 'macro-f1|summary:'||s.s||'|labels:'||c.conv||'|zero-div:0|events:'||e.n||CASE WHEN n < n_all THEN '+partial' ELSE '' END||'|min-cell:0|meta:'||f||'|v:1' AS signature
- FROM e, a, fp, (VALUES ('P'),('D'),('O')) c(conv), (VALUES ('pooled'),('per-event-mean'),('difference')) s(s)""")
+ SELECT system, seed, c.conv AS labels, s.s AS summary, 'loeo-macro-f1|summary:'||s.s||'|labels:'||c.conv||'|zero-div:0|events:'||e.n||CASE WHEN n < n_all THEN '+partial' ELSE '' END||'|min-cell:0|meta:'||f||'|v:1.2.0' AS signature
+ FROM e, a, fp, (VALUES ('P'),('D'),('O')) c(conv), (VALUES ('pooled'),('per-event'),('difference')) s(s)""")
 def _(fx):
     from gapcube.operators.validate import meta_fingerprint, signatures
     return signatures(C.score_cube(fx.cube), meta_fingerprint(fx.meta), fx.meta)

@@ -32,11 +32,11 @@ def list_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(patterns)).select("path", "length").distinct()
 
 
-def read_predictions(spark: SparkSession, patterns: Sequence[str], keep: Sequence[str] = REQUIRED, keep_path: bool = False) -> DataFrame:
+def read_predictions(spark: SparkSession, patterns: Sequence[str], keep: Sequence[str] = REQUIRED, keep_path: bool = False, id_column: str = "item_id") -> DataFrame:
     """Prediction files with any column order; a file without a required column is an error; other columns are not read.
 
     Files are grouped by header line, so each distinct layout is one scan. Gzip files are one task each; repartition
-    afterwards if few large ones dominate.
+    afterwards if few large ones dominate. `id_column` is the name of the item id in the files.
     """
     paths = sorted(r.path for r in list_files(spark, patterns).collect())  # file names, as the scan itself lists them
     layouts: dict[tuple, list[str]] = {}
@@ -44,6 +44,7 @@ def read_predictions(spark: SparkSession, patterns: Sequence[str], keep: Sequenc
         layouts.setdefault(tuple(tsv(spark).csv(p).columns), []).append(p)
     out = None
     for header, files in sorted(layouts.items()):
+        header = tuple("item_id" if c == id_column else c for c in header)
         missing = [c for c in REQUIRED if c not in header]
         if missing:
             raise ValueError(f"{files[0]}: missing columns {missing}")
@@ -58,7 +59,8 @@ def read_predictions(spark: SparkSession, patterns: Sequence[str], keep: Sequenc
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    return blank_strings(tsv(spark).schema(META_SCHEMA).csv(path))
+    """Metadata by position: id, event, hazard, label; the header names are not used."""
+    return blank_strings(tsv(spark).schema(META_SCHEMA).option("enforceSchema", True).csv(path))
 
 
 def fold_probabilities(df: DataFrame) -> DataFrame:
