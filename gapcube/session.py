@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,36 @@ def local_session(cpus: int = 8, app: str = "gapcube") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; their Python may not see the driver's folders."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="gapcube-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # only the folder made here
+    with zipfile.ZipFile(os.path.join(folder, "gapcube.zip"), "w") as z:
+        for at, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.join("gapcube", os.path.relpath(os.path.join(at, n), top)))
+    spark.sparkContext.addPyFile(os.path.join(folder, "gapcube.zip"))
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """Folder every executor can reach: spark.checkpoint.dir, or a new local one where it is unset and the master is local."""
+    ship(spark)
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="gapcube-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)  # only the folder made here
