@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gapcube.llm import bpe, exact, html, packing, toxicity
+from gapcube.llm import bpe, exact, html, packing, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_simhash": simhash.op2_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_html_extraction": html.op5_html_extraction,
     "op6_exact_dedup": exact.op6_exact_dedup,
+    "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
 ORACLES = {"op6_exact_dedup": exact.ORACLE}

@@ -58,7 +58,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> dict:
     """Model of a bounded sample: the kept places, their weights, and the intercept."""
     data, at = flat(texts)
     counts = np.zeros((2, DIMENSIONS))
-    for i, j in chunks(at):
+    for i, j in chunks(at, 1 << 17):  # small enough to sort in cache
         row, place = present(data[at[i]:at[j]], at[i:j + 1] - at[i], None)
         for c in (0, 1):
             counts[c] += np.bincount(place[toxic[i:j][row] == c], minlength=DIMENSIONS)
