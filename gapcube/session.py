@@ -54,7 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: spark.checkpoint.dir, or a new local one where it is unset and the master is local."""
     ship(spark)
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not configured and not spark.sparkContext.master.startswith("local["):
+    if not configured and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="gapcube-")
