@@ -7,7 +7,7 @@
    of all rows is one row per context. A context that occurs twice is repeated as a whole.
 3. The bytes of contexts that differ under one anchor go to shards of bounded size. A shard's suffix array (induced
    sorting) and its common prefixes give the windows that stand at two different places. An anchor with more than
-   `HOT` different contexts is not put into one shard: its windows are grouped by digest instead, which is exact too.
+   a shard of different contexts is split: its windows are grouped by digest instead, which is exact too.
 4. Places get their spans back by (anchor, context), documents by row.
 """
 
@@ -28,8 +28,8 @@ from gapcube.llm.suffix import common_prefixes, suffix_array
 from gapcube.session import written
 
 WINDOW, GRAM = 200, 64
-#: Bytes of contexts in one shard, and different contexts of one anchor that may share a shard.
-SHARD_BYTES, HOT = 2 << 20, 2_000
+#: Bytes of contexts in one shard.
+SHARD_BYTES = 2 << 20
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -241,9 +241,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
-                   shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(_doc, _twin, spans) of the rows that have repeated strings; spans are byte places, unordered, and may overlap."""
-    spark = docs.sparkSession
+    hot = shard_bytes // (2 * window - gram)  # contexts that fill a shard
     rows = keyed(docs, id_col, text_col).select("_doc", "_twin", "_text")
     occ = written(rows.filter(F.octet_length("_text") >= window).mapInArrow(occurrences(window, gram), "fp long, ctx long, doc long, twin int, place int"), "anchors")
     twice = occ.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
