@@ -246,7 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = shard_bytes // (2 * window - gram)  # contexts that fill a shard
     rows = keyed(docs, id_col, text_col).select("_doc", "_twin", "_text")
     occ = written(rows.filter(F.octet_length("_text") >= window).mapInArrow(occurrences(window, gram), "fp long, ctx long, doc long, twin int, place int"), "anchors")
-    twice = occ.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
+    twice = written(occ.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"), "twice")  # stored, so that a skewed join can be split
     cand = written(occ.join(twice, "fp", "left_semi"), "repeated")
     ctx = written(cand.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "twin", "place")).alias("at")), "contexts")
     many = ctx.groupBy("fp").agg(F.count(F.lit(1)).alias("contexts"))
