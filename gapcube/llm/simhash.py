@@ -25,7 +25,7 @@ from gapcube.session import written
 DISTANCE, WORDS, SEED = 3, 3, 42
 #: Fingerprints that the bit groups and thresholds are estimated on (a bound; results don't depend on the draw).
 SAMPLE = 4096
-PARTS = (2, 3, 4)
+PARTS = (2, 3)  # parts of 21 bits at least: with 16 bits, pairs grow with the square early
 #: Cost of a candidate pair relative to that of a key sent.
 PAIR_COST = 4.0
 
