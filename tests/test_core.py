@@ -1,6 +1,7 @@
-"""Hand-computed scores, identities on random corpora, and rejected inputs."""
-import random
+"""A worked example, definitions on generated corpora, and rejected inputs."""
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,117 +10,105 @@ from gapcube.operators import filters as FL
 from gapcube.operators import resample as R
 from gapcube.operators import validate as V
 
-TOY = [("1", "x", "a", "a"), ("2", "x", "a", "b"), ("3", "x", "b", "b"), ("4", "x", "b", "b"), ("5", "y", "a", "a"), ("6", "y", "c", "c"), ("7", "y", "c", "b"), ("8", "y", "c", "c")]
-COLS = "item_id string, event string, y_true string, y_pred string"
-
-
-def pred_of(spark, rows):
-    return spark.createDataFrame(rows, COLS).select(F.lit("s").alias("system"), F.lit("1").alias("seed"), "*")
-
-
-def meta_of(spark, rows):
-    return spark.createDataFrame([(i, e, "h", y) for i, e, y, _ in rows], "item_id string, event string, hazard string, label string")
-
-
-def corpus(seed):
-    rng, rows = random.Random(seed), []
-    for e in range(6):
-        own = rng.sample("abcd", rng.randint(1, 4))
-        for i in range(60):
-            y = rng.choice(own)
-            rows.append((f"{e}-{i}", f"e{e}", y, y if rng.random() < 0.6 else rng.choice("abcd")))
-    for c in set("abcd") - {r[2] for r in rows}:
-        rows.append((f"extra-{c}", "e0", c, "a"))
-    return rows
-
-
-def brute(rows, conv):
-    """Macro-F1 of rows by definition."""
-    classes = "abcd"
-    total, n = 0.0, 0
-    for c in classes:
-        tp = sum(y == c and p == c for _, _, y, p in rows)
-        fp = sum(y != c and p == c for _, _, y, p in rows)
-        fn = sum(y == c and p != c for _, _, y, p in rows)
-        if conv == "O" or tp + fn > 0 or (conv == "D" and fp > 0):
-            total, n = total + (2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0), n + 1
-    return total / n
-
-
-def test_toy_scores(spark):
-    pred, meta = pred_of(spark, TOY), meta_of(spark, TOY)
-    ev = {r.event: r for r in C.event_scores(C.confusion_cube(pred, C.class_list(meta))).collect()}
-    x = (2 / 3 + 4 / 5) / 2
-    assert ev["x"].f1_P == pytest.approx(x) and ev["y"].f1_P == pytest.approx((1 + 4 / 5) / 2)
-    assert ev["y"].f1_D == pytest.approx((1 + 4 / 5) / 3) and ev["x"].f1_O == pytest.approx((2 / 3 + 4 / 5) / 3)
-    s = C.score_cube(C.confusion_cube(pred, C.class_list(meta))).first()
-    assert s.pooled_P == pytest.approx(s.pooled_D) == pytest.approx(s.pooled_O)
+# flood: road -> road, road, food; food -> food; help -> road. storm: food -> food; help -> help, help, road.
+WORKED = [(f"m{i}", e, y, p) for i, (e, y, p) in enumerate([
+    ("flood", "road", "road"), ("flood", "road", "road"), ("flood", "road", "food"), ("flood", "food", "food"), ("flood", "help", "road"),
+    ("storm", "food", "food"), ("storm", "help", "help"), ("storm", "help", "help"), ("storm", "help", "road")])]
+
+
+def frames(spark, rows, truth=None):
+    """Predictions of one system and seed, and the metadata they should agree with."""
+    pred = spark.createDataFrame([("sys", "9", *r) for r in rows], "system string, seed string, item_id string, event string, y_true string, y_pred string")
+    meta = spark.createDataFrame([(i, e, "any", y) for i, e, y, _ in truth or rows], "item_id string, event string, hazard string, label string")
+    return pred, meta, C.class_list(meta)
+
+
+def generated(seed):
+    """Events of very different sizes; each has its own class shares, and its own share of rows moved to the next class."""
+    g = np.random.default_rng(100 + seed)
+    names, rows = np.array(["road", "food", "help", "other", "news"]), []
+    for k, size in enumerate((7, 25, 90, 140)):
+        true = g.choice(5, size, p=g.dirichlet(np.full(5, 0.5)))
+        said = (true + (g.random(size) < g.uniform(0.1, 0.6))) % 5
+        rows += [(f"{k}/{i}", f"ev{k}", names[a], names[b]) for i, (a, b) in enumerate(zip(true, said))]
+    return rows + [(f"all/{c}", "ev3", c, c) for c in names]
+
+
+def macro(rows, listed, every):
+    """Mean F1 over the classes that a label list holds, from counts of (true, said) pairs."""
+    pairs = Counter((y, p) for _, _, y, p in rows)
+    true, said = Counter(y for _, _, y, _ in rows), Counter(p for _, _, _, p in rows)
+    chosen = {"P": set(true), "D": set(true) | set(said), "O": every}[listed]
+    return sum(2 * pairs[c, c] / (true[c] + said[c]) if true[c] + said[c] else 0.0 for c in chosen) / len(chosen)
+
+
+def test_worked_example(spark):
+    pred, meta, classes = frames(spark, WORKED)
+    cube = C.confusion_cube(pred, classes)
+    ev = {r.event: r for r in C.event_scores(cube).collect()}
+    # flood: road 2*2/(3+3), food 2*1/(1+2), help 0; storm: food 1, help 2*2/(3+2), road said but not true
+    assert [ev["flood"][f"f1_{k}"] for k in "PDO"] == pytest.approx([4 / 9] * 3)
+    assert [ev["storm"][f"f1_{k}"] for k in "PDO"] == pytest.approx([0.9, 0.6, 0.6])
+    # together: road 4/(3+4), food 4/(2+3), help 4/(4+2)
+    s = C.score_cube(cube).first()
+    assert s.pooled_P == pytest.approx(214 / 315) and s.A_P == pytest.approx(214 / 315 - (4 / 9 + 0.9) / 2)
 
 
-def test_small_cell_removal(spark):
-    pred = pred_of(spark, TOY)
+def test_small_cells(spark):
+    pred, _, _ = frames(spark, WORKED)  # cells of one message: flood food, flood help, storm food
     r = FL.removal_report(C.pair_counts(pred), 2).first()
-    assert (r.removed_cells, r.removed_messages, r.messages_left) == (1, 1, 7)
-    assert FL.remove_small_cells(pred, 2).count() == 7
+    assert (r.removed_cells, r.removed_messages, r.messages_left) == (3, 3, 6) and FL.remove_small_cells(pred, 2).count() == 6
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_identities(spark, seed):
-    rows = corpus(seed)
-    pred, meta = pred_of(spark, rows), meta_of(spark, rows)
-    cube = C.confusion_cube(pred, C.class_list(meta)).cache()
+def test_definitions_and_sums(spark, seed):
+    rows = generated(seed)
+    pred, meta, classes = frames(spark, rows)
+    cube = C.confusion_cube(pred, classes).cache()
     s = C.score_cube(cube).first()
-    for conv in "PDO":
-        events = sorted({r[1] for r in rows})
-        mean = sum(brute([r for r in rows if r[1] == e], conv) for e in events) / len(events)
-        assert s[f"pooled_{conv}"] == pytest.approx(brute(rows, conv)) and s[f"per_event_{conv}"] == pytest.approx(mean)
-    assert s.T1 + s.T2 + s.T3 + s.T4 == pytest.approx(s.A_P, abs=1e-12)
-    assert s.T1 + s.T2alt + s.T3alt + s.T4 == pytest.approx(s.A_P, abs=1e-12)
-    assert s.T3c + s.T4c == pytest.approx(s.T3 + s.T4, abs=1e-12)
-    assert s.W + s.N == pytest.approx(s.A_P, abs=1e-12) and s.scoring + s.reweighting == pytest.approx(s.A_P, abs=1e-9)
-    assert s.T1 <= 1e-12
-    # a draw that takes e0 twice equals a corpus in which e0 occurs twice
-    draws = spark.createDataFrame([(0, "e0", 2), (0, "e1", 1), (0, "e2", 1)], "b long, event string, m long")
-    weighted = R.draw_scores(C.cell_features(cube), draws).first()
-    twice = cube.filter("event IN ('e0', 'e1', 'e2')").unionByName(cube.filter("event = 'e0'").withColumn("event", F.lit("e0 again")))
-    direct = C.score_cube(twice).first()
-    for name in ("A_P", "A_D", "A_O", *C.TERMS, "W", "N"):
-        assert weighted[name] == pytest.approx(direct[name], abs=1e-12)
-    # leaving an event out equals scoring the rest
-    jk = {r.left_out: r for r in R.jackknife(C.cell_features(cube)).collect()}
-    rest = C.score_cube(cube.filter("event <> 'e1'")).first()
-    assert jk["e1"].A_P == pytest.approx(rest.A_P, abs=1e-9)
-
-
-def test_composition_term_is_zero_with_one_class(spark):
-    rows = [(f"{e}{i}", f"e{e}", "a", "a" if i % 3 else "b") for e in range(3) for i in range(9)] + [("z", "e0", "a", "a")]
-    s = C.score_cube(C.confusion_cube(pred_of(spark, rows), C.class_list(meta_of(spark, rows)))).first()
-    assert abs(s.T4) < 1e-12 and abs(s.T4c) < 1e-12
-
-
-BROKEN = {
-    "duplicate": TOY + [TOY[0]], "not in the metadata": TOY + [("99", "x", "a", "a")], "y_true disagrees": [("1", "x", "b", "a"), *TOY[1:]],
-    "outside the class list": [("1", "x", "a", "zzz"), *TOY[1:]], "incomplete events: ['x']": TOY[1:], "events with no predictions: ['y']": TOY[:4]}
-
-
-@pytest.mark.parametrize("message", sorted(BROKEN))
-def test_rejected(spark, message):
-    meta = meta_of(spark, TOY)
-    with pytest.raises(V.ValidationError) as err:
-        V.require_valid(pred_of(spark, BROKEN[message]), meta, C.class_list(meta))
-    assert message in str(err.value)
+    events, every = sorted({r[1] for r in rows}), {r[2] for r in rows}
+    for k in "PDO":
+        assert s[f"pooled_{k}"] == pytest.approx(macro(rows, k, every))
+        assert s[f"per_event_{k}"] == pytest.approx(np.mean([macro([r for r in rows if r[1] == e], k, every) for e in events]))
+    for parts in (("T1", "T2", "T3", "T4"), ("T1", "T2alt", "T3alt", "T4"), ("T1", "T2", "T3c", "T4c"), ("W", "N")):
+        assert sum(s[p] for p in parts) == pytest.approx(s.A_P, abs=1e-12), parts
+    assert s.scoring + s.reweighting == pytest.approx(s.A_P, abs=1e-9)
+    # a draw is a corpus in which the drawn events stand that often
+    draw = spark.createDataFrame([(5, "ev1", 1), (5, "ev3", 3)], "b long, event string, m long")
+    again = cube.filter("event IN ('ev1', 'ev3')")
+    for copy in ("second", "third"):
+        again = again.unionByName(cube.filter("event = 'ev3'").withColumn("event", F.lit(copy)))
+    got, want = R.draw_scores(C.cell_features(cube), draw).first(), C.score_cube(again).first()
+    assert [got[n] for n in ("A_P", "A_D", "A_O", *C.TERMS)] == pytest.approx([want[n] for n in ("A_P", "A_D", "A_O", *C.TERMS)], abs=1e-12)
+    without = {r.left_out: r.A_P for r in R.jackknife(C.cell_features(cube)).collect()}
+    assert without == pytest.approx({e: C.score_cube(cube.filter(F.col("event") != e)).first().A_P for e in events}, abs=1e-9)
+
+
+def test_accepted_inputs(spark):
+    pred, meta, classes = frames(spark, WORKED)
+    V.require_valid(pred, meta, classes)
+    V.require_valid(pred.filter("event = 'storm'"), meta, classes, partial=True)
+    with pytest.raises(V.ValidationError):
+        V.assert_no_text(meta.withColumn("text", F.lit("words")))
 
 
-def test_accepted(spark):
-    meta = meta_of(spark, TOY)
-    V.require_valid(pred_of(spark, TOY), meta, C.class_list(meta))
-    V.require_valid(pred_of(spark, TOY[:4]), meta, C.class_list(meta), partial=True)
-    with pytest.raises(V.ValidationError):
-        V.assert_no_text(meta.withColumn("text", F.lit("x")))
+FAULTS = [
+    ("moved and unlisted", [("m0", "storm", "road", "road"), *WORKED[1:8], ("m8", "storm", "help", "boat")],
+     ["1 rows whose event disagrees", "1 predictions outside the class list", "incomplete events: ['flood'"]),
+    ("twice and relabelled", [*WORKED[:8], ("m8", "storm", "food", "road"), WORKED[3], WORKED[3]], ["2 duplicate item rows", "1 rows whose y_true disagrees"]),
+    ("unknown and absent", [*[r for r in WORKED if r[1] == "flood"], ("n1", "flood", "road", "road")], ["1 items not in the metadata", "events with no predictions: ['storm']"]),
+]
+
+
+@pytest.mark.parametrize("name, rows, said", FAULTS, ids=[f[0] for f in FAULTS])
+def test_rejected_inputs_name_every_fault(spark, name, rows, said):
+    pred, meta, classes = frames(spark, rows, WORKED)
+    with pytest.raises(V.ValidationError) as err:
+        V.require_valid(pred, meta, classes)
+    assert all(text in str(err.value) for text in said)
 
 
 def test_signature(spark):
-    meta = meta_of(spark, TOY)
-    s = C.score_cube(C.confusion_cube(pred_of(spark, TOY[:4]), C.class_list(meta)))
-    texts = [r.signature for r in V.signatures(s, V.meta_fingerprint(meta), meta).collect()]
+    pred, meta, classes = frames(spark, [r for r in WORKED if r[1] == "storm"], WORKED)
+    texts = [r.signature for r in V.signatures(C.score_cube(C.confusion_cube(pred, classes)), V.meta_fingerprint(meta), meta).collect()]
     assert len(texts) == 9 and all("|events:1+partial|min-cell:0|meta:" in t for t in texts)
