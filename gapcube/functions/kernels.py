@@ -19,11 +19,18 @@ def t_sf2(t: float, df: float) -> float:
         return 0.0
     # P(|T| > |t|) = 2c * integral of cos(u)^(df-1) from atan(|t|/sqrt(df)) to pi/2
     a = math.atan(abs(t) / math.sqrt(df))
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    if df < 3:
+        # the integrand has a singular derivative at pi/2: with v = pi/2 - u and w = v^df it is (sin v / v)^(df-1) / df
+        w = np.linspace(0.0, (math.pi / 2 - a) ** df, 4001)
+        v = w ** (1 / df)
+        y = np.sinc(v / math.pi) ** (df - 1.0) / df
+        h = w[-1] / 4000
+        return float(min(1.0, 2 * c * h / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())))
     u = np.linspace(a, math.pi / 2, 4001)
     y = np.cos(u).clip(0.0) ** (df - 1.0)
     h = (math.pi / 2 - a) / 4000
     area = h / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
-    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
     return float(min(1.0, 2 * c * area))
 
 

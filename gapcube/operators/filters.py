@@ -116,11 +116,11 @@ def cross_event_duplicates(corpus: DataFrame) -> DataFrame:
 def within_event_duplicates(corpus: DataFrame) -> DataFrame:
     """Items other than the one with the smallest id of each (event, normalised text).
 
-    The kept ids are a grouped minimum (combined before the shuffle), and the anti join runs on the unique id, so a text
+    The kept ids are a grouped minimum (combined before the shuffle), and the anti join runs on (event, id), so a text
     with a third of all rows never forms one group in one task.
     """
-    kept = corpus.groupBy("event", text_digest().alias("k")).agg(F.min("item_num").alias("item_num")).select("item_num")
-    return corpus.select("item_id", "item_num", "event").join(kept, "item_num", "left_anti").select("item_id", "event")
+    kept = corpus.groupBy("event", text_digest().alias("k")).agg(F.min("item_num").alias("item_num")).select("event", "item_num")
+    return corpus.select("item_id", "item_num", "event").join(kept, ["event", "item_num"], "left_anti").select("item_id", "event")
 
 
 def subset(df: DataFrame, events: DataFrame) -> DataFrame:

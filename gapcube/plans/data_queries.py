@@ -686,7 +686,7 @@ def _(fx):
     corpus = fit_corpus(fx)
     labels = sorted(r[0] for r in corpus.select("label").distinct().collect())  # the class list
     ids = P.sample_pool(corpus.filter("event <> 'src0'"), "loeo:src0", ["42"], 600).select("item_id")
-    return rounded(M.fit_predict(corpus.join(ids, "item_id", "left_semi"), corpus.filter("event = 'src0'"), labels, vocabulary=1 << 14).select("item_id", "event", "y_true", "y_pred"))
+    return rounded(M.fit_predict(corpus.join(ids, "item_id", "left_semi"), corpus.filter("event = 'src0'"), labels).select("item_id", "event", "y_true", "y_pred"))
 
 
 @query("M3_heldout_fit_predict")
@@ -694,7 +694,7 @@ def _(fx):
     corpus = fit_corpus(fx)
     labels = sorted(r[0] for r in corpus.select("label").distinct().collect())  # the class list
     samples = written(P.sample_heldout(corpus, ["42"], 400), "samples")
-    pred = M.heldout_fit_predict(corpus, samples, [("src0", "42"), ("src1", "42")], labels, vocabulary=1 << 13)
+    pred = M.heldout_fit_predict(corpus, samples, [("src0", "42"), ("src1", "42")], labels)
     return pred.select("run_key", "seed", "item_id", "event", "y_true", "y_pred")
 
 
