@@ -67,10 +67,6 @@ def batches(it: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, text: int =
                 yield b.slice(i, j - i)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
@@ -78,10 +74,3 @@ def crc_of_id(col: str = "doc_id") -> Column:
 def held_out(col: str = "doc_id") -> Column:
     """Rows that no model here learns from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(crc_of_id(col) % 4 == 2, F.lit(False))
-
-
-def clear_names(df: DataFrame, names: dict[str, Column]) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names do no harm."""
-    return df.select(*[c.alias(n) for n, c in names.items()])
-
-

@@ -143,9 +143,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             break
         done.append(packed.filter(free <= slack))
         groups, before, level = max(1, wanted, -(-parts // fan_in)), n, level + 1
-        # the next groups take neighbouring partitions; where groups can't shrink, bins are dealt anew
-        key = F.floor(F.shiftright("bin", 32).bitwiseAND(F.lit((1 << 24) - 1)) / F.lit(-(-parts // groups))) if groups < parts else F.xxhash64("bin", F.lit(level))
-        key = F.pmod(key, F.lit(groups)) if groups < parts else F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups))
+        if groups < parts:  # neighbouring partitions meet
+            part = F.shiftright("bin", 32).bitwiseAND(F.lit((1 << 24) - 1))
+            key = F.pmod(F.floor(part / F.lit(-(-parts // groups))), F.lit(groups))
+        else:  # groups can't get fewer: deal the bins anew
+            key = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups))
         open_ = packed.filter(free > slack).withColumn("_g", key).repartition(groups, "_g").drop("_g")
     out = done[0]
     for d in done[1:]:

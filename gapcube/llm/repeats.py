@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,7 +193,6 @@ def shard_spans(window: int, gram: int, shard_bytes: int):
         return spans_table(t["fp"].to_numpy(), t["ctx"].to_numpy(), who, a - left[who], b - left[who]) if len(y) else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         pending = None
         for b in it:  # sorted by anchor, so a shard ends only where an anchor ends
             if not b.num_rows:
@@ -200,7 +200,7 @@ def shard_spans(window: int, gram: int, shard_bytes: int):
             t = pa.Table.from_batches([b]) if pending is None else pa.concat_tables([pending, pa.Table.from_batches([b])])
             fp = t["fp"].to_numpy()
             ends = np.flatnonzero(fp[1:] != fp[:-1]) + 1
-            lengths = np.cumsum(np.concatenate([[0], np.asarray(pa.compute.binary_length(t["bytes"]))]))
+            lengths = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(t["bytes"]))]))
             done = 0
             for e in ends.tolist():
                 if lengths[e] - lengths[done] >= shard_bytes:
@@ -209,7 +209,6 @@ def shard_spans(window: int, gram: int, shard_bytes: int):
                         yield out
                     done = e
             pending = t.slice(done)
-        del held, size
         if pending is not None and len(pending):
             out = one(pending)
             if out is not None:
