@@ -27,14 +27,14 @@ def numbered(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     return d.select(*by, name, (F.row_number().over(group.orderBy(name)) - 1).alias("pos"), F.count(F.lit(1)).over(group).alias("size"))
 
 
-def event_draws(spark: SparkSession, events: DataFrame, draws: int, tag: str = "ev") -> DataFrame:
-    """(b, event, m): E events drawn with replacement in each draw."""
-    e = numbered(events, [], "event")
-    total = e.agg(F.count(F.lit(1)).alias("size"))
-    slots = spark.range(draws).select(F.col("id").alias("b")).withColumn("size", total.scalar()).select(
-        "b", "size", F.explode(F.expr("sequence(0L, size - 1)")).alias("slot"))
-    picked = slots.select("b", (hash32(tag, F.col("b"), F.col("slot")) % F.col("size")).alias("pos"))
-    return picked.join(e, "pos").groupBy("b", "event").agg(F.count(F.lit(1)).alias("m"))
+def event_draws(spark: SparkSession, events: DataFrame, draws: int, tag: str = "ev", by: Sequence[str] = ()) -> DataFrame:
+    """(b, *by, event, m): E events drawn with replacement in each draw; with `by`, from the events of each group."""
+    e = numbered(events, by, "event")
+    groups = e.filter("pos = 0").agg(F.collect_list(F.struct(*by, "size")).alias("u"))  # one entry per group
+    slots = spark.range(draws).select(F.col("id").alias("b")).withColumn("u", groups.scalar()).select("b", F.explode("u").alias("u")).select(
+        "b", "u.*", F.explode(F.expr("sequence(0L, u.size - 1)")).alias("slot"))
+    picked = slots.select("b", *by, (hash32(tag, F.col("b"), F.col("slot")) % F.col("size")).alias("pos"))
+    return picked.join(e.drop("size"), [*by, "pos"]).groupBy("b", *by, "event").agg(F.count(F.lit(1)).alias("m"))
 
 
 def seed_draws(spark: SparkSession, runs: DataFrame, draws: int, unit: str = "system", tag: str = "sd") -> DataFrame:
@@ -49,8 +49,8 @@ def seed_draws(spark: SparkSession, runs: DataFrame, draws: int, unit: str = "sy
 
 
 def draw_scores(features: DataFrame, draws: DataFrame, keys: Sequence[str] = C.RUN) -> DataFrame:
-    """Scores of every (draw, run)."""
-    joined = features.join(draws, "event")
+    """Scores of every (draw, run); draws may differ by some of the keys."""
+    joined = features.join(draws, ["event", *[k for k in keys if k in draws.columns]])
     return C.scores(C.class_sums(joined, ["b", *keys], "m"), ["b", *keys])
 
 

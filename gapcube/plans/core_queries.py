@@ -14,7 +14,7 @@ from gapcube.plans.fixtures import CUBE, H, MERGED, META, PRED, cube_sql
 from gapcube.plans.registry import query
 from gapcube.session import written
 
-B = 200
+B = 2000
 WITH = "WITH " + CUBE
 SCORED = WITH + ",\n" + S.level_scores("sc", "cube", "system, seed")
 FEAT = WITH + ",\n" + S.features("ft", "cube", "system, seed")
@@ -244,11 +244,14 @@ def draws(fx, features=None, b=B, columns=BOOT_COLUMNS):
 
 
 T_KEYS = "t, system, seed"
+# draws from the events that a threshold leaves
+EV_T = f"""evs AS (SELECT t, event, row_number() OVER (PARTITION BY t ORDER BY event)-1 AS pos, count(*) OVER (PARTITION BY t) AS sz FROM (SELECT DISTINCT t, event FROM cube)),
+ed AS MATERIALIZED (SELECT b, t, e.event, count(*) AS m FROM (SELECT b, s.t, {H("'ev'", 'CAST(b AS VARCHAR)', 'CAST(s.pos AS VARCHAR)')} % s.sz AS pos FROM range({B}) r(b) CROSS JOIN evs s) d JOIN evs e USING (t, pos) GROUP BY ALL)"""
 CUBE_T = ("WITH " + PRED + ", kt AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY system, seed, event, y_true) AS z FROM pred) CROSS JOIN (VALUES (5),(10),(15),(20),(30)) v(t) WHERE z>=t), "
-          + cube_sql("cube", "kt", "classes", T_KEYS) + ", " + S.features("ft", "cube", T_KEYS) + ", " + EV + ", " + SD)
+          + cube_sql("cube", "kt", "classes", T_KEYS) + ", " + S.features("ft", "cube", T_KEYS) + ", " + EV_T + ", " + SD)
 
 
-@query("FL3_gap_by_threshold", CUBE_T + ", " + S.sums("cs", "ft", T_KEYS) + ", " + S.scores("sc", "cs", T_KEYS) + ", " + S.sums("bs", "ft", f"b, {T_KEYS}", "m", "JOIN ed USING (event)") + ", " + S.scores("bsc", "bs", f"b, {T_KEYS}")
+@query("FL3_gap_by_threshold", CUBE_T + ", " + S.sums("cs", "ft", T_KEYS) + ", " + S.scores("sc", "cs", T_KEYS) + ", " + S.sums("bs", "ft", f"b, {T_KEYS}", "m", "JOIN ed USING (t, event)") + ", " + S.scores("bsc", "bs", f"b, {T_KEYS}")
        + """, bt AS (SELECT b, t, system, sum(A_P*ms)/max(n_seeds) AS A_P FROM bsc JOIN sd USING (b, system, seed) GROUP BY ALL),
  pt AS (SELECT t, system, avg(A_P) AS a, max(n_events) AS ne FROM sc GROUP BY ALL)
  SELECT t, system, """ + S.r("max(a)", "A_P") + ", CAST(max(ne) AS BIGINT) AS events, " + ci_sql(["A_P"]) + " FROM pt JOIN bt USING (t, system) GROUP BY t, system")
@@ -257,7 +260,7 @@ def _(fx):
     keys = ("t", "system", "seed")
     ft = written(C.cell_features(cube, keys), "features")
     point = C.scores(C.class_sums(ft, keys), keys).groupBy("t", "system").agg(F.avg("A_P").alias("A_P"), F.max("n_events").cast("bigint").alias("events"))
-    ed = R.event_draws(fx.spark, fx.cube.select("event"), B)
+    ed = R.event_draws(fx.spark, ft.select("t", "event"), B, by=["t"])
     sd = R.seed_draws(fx.spark, fx.cube.select("system", "seed"), B)
     d = R.draw_scores(ft, ed, keys).join(sd, ["b", "system", "seed"]).groupBy("b", "t", "system").agg((F.sum(F.col("A_P") * F.col("ms")) / F.max("n_seeds")).alias("A_P"))
     return rounded(point.join(R.percentiles(d, ["t", "system"], ["A_P"]), ["t", "system"]))

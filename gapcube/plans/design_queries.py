@@ -437,19 +437,19 @@ def _(fx):
 
 @query("R19_fixed_rate_null")
 def _(fx):
-    return rounded(NM.null_summary(NM.fixed_rate_null(fx.cube, 200)))
+    return rounded(NM.null_summary(NM.fixed_rate_null(fx.cube, B)))
 
 
 @query("R19_fixed_rate_null_min_cell_15")
 def _(fx):
     kept = C.cube_from_pairs(FL.remove_small_pairs(fx.pairs, 15), fx.classes)
-    return rounded(NM.null_summary(NM.fixed_rate_null(kept, 200), ["A_P"]))
+    return rounded(NM.null_summary(NM.fixed_rate_null(kept, B), ["A_P"]))
 
 
 @query("R20_observed_minus_null")
 def _(fx):
-    ed = R.event_draws(fx.spark, fx.cube.select("event"), 40)
-    sd = R.seed_draws(fx.spark, fx.cube.select("system", "seed"), 40)
+    ed = R.event_draws(fx.spark, fx.cube.select("event"), B)
+    sd = R.seed_draws(fx.spark, fx.cube.select("system", "seed"), B)
     return rounded(R.percentiles(NM.observed_minus_null(fx.cube, ed, sd, 20), ["system"], ["omn"]))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapcube.functions import kernels as KN
 from gapcube.operators import models as M
 from gapcube.operators import nullmodel as NM
+from gapcube.operators import resample as R
 from gapcube.operators import similarity as SIM
 from gapcube.operators import splits as SP
 from gapcube.operators import text as N
@@ -28,6 +29,20 @@ def test_take_lowest_with_a_hot_group(spark):
     assert got == want
 
 
+def test_draws_take_only_the_events_of_their_group(spark):
+    # threshold 5 leaves three events, threshold 10 two, so its draws must have two slots and never take "c"
+    left = spark.createDataFrame([(5, e) for e in "abc"] + [(10, e) for e in "ab"], "t int, event string")
+    got = R.event_draws(spark, left, 50, by=["t"]).collect()
+    slots = {}
+    for r in got:
+        slots[r.b, r.t] = slots.get((r.b, r.t), 0) + r.m
+    assert slots == {(b, t): n for b in range(50) for t, n in ((5, 3), (10, 2))}
+    assert {r.event for r in got if r.t == 10} == {"a", "b"}
+    # all events of one group: the same draws as without groups
+    plain = {(r.b, r.event, r.m) for r in R.event_draws(spark, left.filter("t = 5"), 50).collect()}
+    assert plain == {(r.b, r.event, r.m) for r in got if r.t == 5}
+
+
 def test_temporal_holdout_breaks_ties_by_id(spark):
     rows = [("e", str(i), i, "2024-01-01 00:00:00") for i in range(50)] + [("e", "99", 99, "2024-01-01 00:00:01")]
     df = spark.createDataFrame(rows, "event string, item_id string, item_num long, t string").withColumn("posted_at", F.to_timestamp("t"))
