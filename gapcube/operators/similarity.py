@@ -1,9 +1,11 @@
 """Near duplicates by cosine of character 3-5-gram TF-IDF vectors, exact above a threshold.
 
-Equal texts are collapsed first, so a group of copies is one vector. Pairs are generated from prefixes: grams of a text
-are ordered rare first, and two texts with cosine >= t must share a gram of both prefixes, where a prefix ends once the
-norm of the rest falls below t. Candidate texts are then compared block by block on their whole vectors, so nothing is
-approximated or capped. Texts are normalised keys (ASCII), so a gram is an exact number of at most five bytes.
+Equal texts are collapsed first, so a group of copies is one vector. Grams are ordered rare first in levels of document
+frequency; a text's prefix ends at the first level from which the norm of the rest is below the threshold. Two texts
+share all their common grams below the lower of both cuts, so the dot product of the prefixes plus the product of the
+norms that are left there is an upper bound of the cosine. Only pairs whose bound reaches the threshold are compared on
+whole vectors: nothing is approximated or capped. Texts are normalised keys (ASCII), so a gram is an exact number of at
+most five bytes.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from gapcube.session import written
 STRATA = ((0.0, 0.5), (0.5, 0.8), (0.8, 1.01))
 BANDS = ((0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 0.999), (0.999, 1.01))
 EPS = 1e-9
-BLOCK = 512  # texts sent together on each side
-CHUNK = 64  # texts multiplied together inside a block
+BLOCK = 1 << 19  # prefix grams sent together on each side (about; bounds memory, drops nothing)
+SLICE = 1 << 22  # products formed at a time inside a block
+LEVELS, STEP = 96, 1.25  # levels of document frequency and their ratio
 COUNTS = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
-VECTOR = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("tail", T.ArrayType(T.DoubleType()))])
+VECTOR = T.StructType([T.StructField("g", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("tail", T.ArrayType(T.DoubleType())),
+                       T.StructField("upto", T.ArrayType(T.IntegerType()))])
 
 
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +60,22 @@ def gram_counts(texts: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(VECTOR)
 def rare_first(df: pd.Series, g: pd.Series, x: pd.Series) -> pd.DataFrame:
-    """Unit vector with grams in (document frequency, gram) order, and the norm of the vector from each gram on."""
-    gs, ws, tails = [], [], []
+    """Unit vector with grams in (document frequency, gram) order; per level, the norm of the grams from that level on
+    and the number of grams before it."""
+    out = {"g": [], "w": [], "tail": [], "upto": []}
     for d, k, v in zip(df, g, x):
+        d, k = np.asarray(d), np.asarray(k)
         order = np.lexsort((k, d))
         w = np.asarray(v, float)[order]
         w = w / np.sqrt((w * w).sum())
-        gs.append(np.asarray(k)[order])
-        ws.append(w)
-        tails.append(np.sqrt(np.cumsum((w * w)[::-1])[::-1]))
-    return pd.DataFrame({"g": gs, "w": ws, "tail": tails})
+        level = np.minimum(np.log(d[order]) / np.log(STEP), LEVELS - 1).astype(np.int64)
+        upto = np.searchsorted(level, np.arange(LEVELS + 1))
+        rest = np.append(np.cumsum((w * w)[::-1])[::-1], 0.0)
+        out["g"].append(k[order])
+        out["w"].append(w)
+        out["tail"].append(np.sqrt(rest[upto]))
+        out["upto"].append(upto.astype(np.int32))
+    return pd.DataFrame(out)
 
 
 def representatives(corpus: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def representatives(corpus: DataFrame) -> DataFrame:
 
 
 def gram_weights(corpus: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, g, w, tail): unit-norm vectors of the distinct texts, grams rare first.
+    """(rep, g, w, tail, upto): unit-norm vectors of the distinct texts, grams rare first.
 
     Sublinear term frequency and smoothed inverse document frequency over all rows (copies included).
     """
@@ -91,56 +101,85 @@ def gram_weights(corpus: DataFrame, reps: DataFrame) -> DataFrame:
     return docs.select("rep", rare_first("e.df", "e.gram", "e.x").alias("v")).select("rep", "v.*")
 
 
-def _dense(gs, ws, vocabulary: np.ndarray) -> np.ndarray:
-    table = np.zeros((len(gs), len(vocabulary)))
-    for i, (g, w) in enumerate(zip(gs, ws)):
-        at = np.searchsorted(vocabulary, g).clip(max=len(vocabulary) - 1)
-        known = vocabulary[at] == g
-        table[i, at[known]] = np.asarray(w)[known]
-    return table
+def _flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, gram and weight of all prefix grams of a block."""
+    row = np.repeat(np.arange(len(side)), side["g"].map(len).to_numpy())
+    return row, np.concatenate(side["g"].to_numpy()), np.concatenate(side["w"].to_numpy())
 
 
-def _block_dots(threshold: float):
+def _bounded_pairs(threshold: float):
+    """Pairs of two blocks whose upper bound reaches the threshold."""
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"l": [], "r": [], "sim": []}
+        out = {"l": [np.zeros(0, np.int64)], "r": [np.zeros(0, np.int64)]}
         if len(left) and len(right):
-            vocabulary = np.unique(np.concatenate(right["g"].to_numpy()))
-            step = int(np.clip((1 << 23) // len(vocabulary), 4, CHUNK))  # bounds the dense tables
-            ls, rs = left["rep"].to_numpy(), right["rep"].to_numpy()
-            for i in range(0, len(ls), step):
-                a = _dense(left["g"].iloc[i:i + step], left["w"].iloc[i:i + step], vocabulary)
-                for j in range(0, len(rs), step):
-                    dots = a @ _dense(right["g"].iloc[j:j + step], right["w"].iloc[j:j + step], vocabulary).T
-                    x, y = np.nonzero((dots >= threshold - EPS) & (ls[i:i + step, None] != rs[None, j:j + step]))
-                    out["l"].extend(ls[i + x])
-                    out["r"].extend(rs[j + y])
-                    out["sim"].extend(dots[x, y])
-        return pd.DataFrame(out).astype({"l": "int64", "r": "int64", "sim": "float64"})
+            lid, rid, n = left["rep"].to_numpy(), right["rep"].to_numpy(), len(right)
+            lcut, rcut = left["cut"].to_numpy(), right["cut"].to_numpy()
+            ltail, rtail = np.stack(left["tail"].to_numpy()), np.stack(right["tail"].to_numpy())
+            row, gram, weight = _flat(left)
+            col, rgram, rweight = _flat(right)
+            order = np.argsort(rgram, kind="stable")
+            col, rgram, rweight = col[order], rgram[order], rweight[order]
+            low = np.searchsorted(rgram, gram, "left")
+            count = np.searchsorted(rgram, gram, "right") - low
+            before = np.concatenate([[0], np.cumsum(count)])
+            step = max(1, SLICE // n)
+            for i in range(0, len(left), step):
+                dots = np.zeros(min(step, len(left) - i) * n)
+                x, end = np.searchsorted(row, [i, i + step])
+                while x < end:  # a slice of products at a time
+                    y = min(end, max(x + 1, int(np.searchsorted(before, before[x] + SLICE, "right")) - 1))
+                    c = count[x:y]
+                    at = np.repeat(low[x:y] - (before[x:y] - before[x]), c) + np.arange(before[y] - before[x])
+                    dots += np.bincount(np.repeat((row[x:y] - i) * n, c) + col[at], np.repeat(weight[x:y], c) * rweight[at], len(dots))
+                    x = y
+                hit = np.flatnonzero(dots)
+                a, b = hit // n + i, hit % n
+                cut = np.minimum(lcut[a], rcut[b]) - 1
+                ok = (dots[hit] + ltail[a, cut] * rtail[b, cut] >= threshold - EPS) & (lid[a] != rid[b])
+                out["l"].append(lid[a[ok]])
+                out["r"].append(rid[b[ok]])
+        return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
     return fn
 
 
 def _blocked(side: DataFrame, name: str) -> DataFrame:
-    """(rep, block): about BLOCK texts per block."""
-    n = side.agg(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))).alias("n"))
-    return written(side.select("rep").withColumn("n", n.scalar()).select("rep", F.pmod(F.xxhash64("rep"), "n").alias(name)), name)
+    """Prefixes with a block number; blocks hold about BLOCK grams."""
+    n = side.agg(F.greatest(F.lit(1).cast("bigint"), F.ceil(F.sum(F.size("g")) / F.lit(BLOCK))).alias("n"))
+    return written(side.withColumn("n", n.scalar()).withColumn(name, F.pmod(F.xxhash64("rep"), "n")).drop("n"), name)
 
 
-def similar_pairs(weights: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(l, r, sim) of all pairs of distinct texts with cosine at or above the threshold. `left`, `right` hold `rep`.
+def candidate_pairs(weights: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(l, r) of all pairs of distinct texts whose cosine can reach the threshold. `left`, `right` hold `rep`.
 
-    A text meets the blocks of the other side that share a prefix gram with it: prefix grams are joined with distinct
-    (gram, block) rows, so a common gram costs one row per block instead of one per pair of texts. Each text is sent once
-    per block it meets, and each block pair is compared as a matrix product.
+    A prefix is sent to the blocks of the other side that hold one of its grams: prefix grams are joined with distinct
+    (gram, block) rows, so a common gram costs one row per block instead of one per pair of texts.
     """
-    kept = F.expr(f"slice(g, 1, size(filter(tail, x -> x >= {threshold - EPS}D)))")
-    prefix = weights.select("rep", F.explode(kept).alias("gram"))
-    lp = written(prefix.join(_blocked(left, "bl"), "rep"), "left")
-    rp = written(prefix.join(_blocked(right, "br"), "rep"), "right")
-    meets_l = lp.join(rp.select("gram", "br").distinct(), "gram").select("rep", "bl", "br").distinct()
-    meets_r = rp.join(lp.select("gram", "bl").distinct(), "gram").select("rep", "bl", "br").distinct()
-    vectors = weights.select("rep", "g", "w")
-    lv, rv = (m.join(vectors, "rep").toDF("rep", "bl", "br", "g", "w") for m in (meets_l, meets_r))
-    return lv.groupBy("bl", "br").cogroup(rv.groupBy("bl", "br")).applyInPandas(_block_dots(threshold), "l bigint, r bigint, sim double")
+    cut = F.expr(f"CAST(array_position(transform(tail, x -> x < {threshold - EPS}D), true) AS INT)")
+    prefix = written(weights.withColumn("cut", cut).select("rep", "tail", "cut", *[F.expr(f"slice({c}, 1, element_at(upto, cut))").alias(c) for c in "gw"]), "prefix")
+    lp, rp = _blocked(prefix.join(left, "rep"), "bl"), _blocked(prefix.join(right, "rep"), "br")
+    lg, rg = lp.select("rep", "bl", F.explode("g").alias("gram")), rp.select("rep", "br", F.explode("g").alias("gram"))
+    to_r = lg.join(rg.select("gram", "br").distinct(), "gram").select("rep", "br").distinct()
+    to_l = rg.join(lg.select("gram", "bl").distinct(), "gram").select("rep", "bl").distinct()
+    names = ["rep", "bl", "br", "tail", "cut", "g", "w"]
+    lv, rv = lp.join(to_r, "rep").select(*names).toDF(*names), rp.join(to_l, "rep").select(*names).toDF(*names)
+    return lv.groupBy("bl", "br").cogroup(rv.groupBy("bl", "br")).applyInPandas(_bounded_pairs(threshold), "l bigint, r bigint")
+
+
+@F.pandas_udf(T.DoubleType())
+def dot(gl: pd.Series, wl: pd.Series, gr: pd.Series, wr: pd.Series) -> pd.Series:
+    """Dot products of sparse vectors."""
+    out = np.zeros(len(gl))
+    for i, (a, x, b, y) in enumerate(zip(gl, wl, gr, wr)):
+        _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        out[i] = (x[p] * y[q]).sum()
+    return pd.Series(out)
+
+
+def similar_pairs(weights: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(l, r, sim) of all pairs of distinct texts with cosine at or above the threshold. `left`, `right` hold `rep`."""
+    pairs = written(candidate_pairs(weights, left, right, threshold), "candidates")
+    lv, rv = (weights.select(F.col("rep").alias(k), F.col("g").alias(f"g{k}"), F.col("w").alias(f"w{k}")) for k in "lr")
+    return pairs.join(lv, "l").join(rv, "r").select("l", "r", dot("gl", "wl", "gr", "wr").alias("sim")).filter(F.col("sim") >= threshold - EPS)
 
 
 def max_similarity(corpus: DataFrame, threshold: float = 0.6) -> DataFrame:

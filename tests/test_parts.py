@@ -89,6 +89,19 @@ def test_similarity_against_brute_force(spark, threshold):
     assert all(got[i] == pytest.approx(want[i], abs=1e-8) for i in got)
 
 
+def test_similarity_compares_few_pairs(spark):
+    # 120 texts of own words and a near copy of each: only the copies can reach the threshold
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(30)) for _ in range(120)]
+    rows = [(2 * i + c, t + " extra" * c) for i, t in enumerate(texts) for c in (0, 1)]
+    df = spark.createDataFrame([(str(i), i, "e", i % 2 == 0, t) for i, t in rows], "item_id string, item_num long, event string, in_R boolean, text_norm string")
+    weights = SIM.gram_weights(df, SIM.representatives(df))
+    odd, even = (weights.filter(f"rep % 2 = {k}").select("rep") for k in (1, 0))
+    found = {(r.l, r.r) for r in SIM.candidate_pairs(weights, odd, even, 0.8).collect()}
+    assert {(2 * i + 1, 2 * i) for i in range(120)} <= found
+    assert len(found) < 240  # of 14,400
+
+
 def test_t_quantiles_and_tails():
     assert KN.t_ppf(0.975, 29) == pytest.approx(2.045229642132703, abs=1e-9)
     assert KN.t_ppf(0.95, 1) == pytest.approx(6.313751514675043, abs=1e-7)
