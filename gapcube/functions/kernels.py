@@ -55,8 +55,8 @@ def t_ppf(p: float, df: float) -> float:
     return q if p >= 0.5 else -q
 
 
-def wilcoxon_p(x: np.ndarray) -> float:
-    """Two-sided signed-rank p-value: exact up to 50 non-zero values without ties, normal approximation otherwise."""
+def wilcoxon_p(x: np.ndarray, exact_up_to: int = 50) -> float:
+    """Two-sided signed-rank p-value: exact for at most `exact_up_to` non-zero values without ties, else normal."""
     x = np.asarray(x, float)
     x = x[~np.isnan(x)]
     nonzero = x[x != 0]
@@ -66,7 +66,7 @@ def wilcoxon_p(x: np.ndarray) -> float:
     size = np.abs(nonzero)
     order = pd.Series(size).rank().to_numpy()
     w = float(order[nonzero > 0].sum())
-    if n == len(x) and n <= 50 and len(np.unique(size)) == n:
+    if n == len(x) and n <= exact_up_to and len(np.unique(size)) == n:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, n + 1):

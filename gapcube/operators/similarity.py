@@ -23,6 +23,7 @@ from gapcube.functions.columns import dbl, hash32
 from gapcube.operators.filters import text_digest
 from gapcube.session import written
 
+# fixed values: limits of the reported strata and bands
 STRATA = ((0.0, 0.5), (0.5, 0.8), (0.8, 1.01))
 BANDS = ((0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 0.999), (0.999, 1.01))
 EPS = 1e-9

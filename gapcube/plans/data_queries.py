@@ -623,14 +623,15 @@ def _(fx):
     return doc.select("system", "seed", d.alias("d")).select("system", "seed", "d.pooled_P", "d.per_event_P", "d.A_P", F.size("d.events").cast("bigint").alias("n_events")).withColumn("n_cells", cells.scalar())
 
 
-@query("S13_written_predictions", "WITH " + PRED + " SELECT item_id, event, y_true, y_pred FROM pred WHERE system='sysA' AND seed='42'")
+@query("S13_written_predictions", "WITH " + PRED + " SELECT system AS model, seed, item_id, event, y_true, y_pred FROM pred")
 def _(fx):
-    return IO.read_predictions(fx.spark, [f"{fx.run_tree}/confirm/orders/sysA/seed42/*/*.csv.gz"])
+    rows = IO.with_path_keys(IO.read_predictions(fx.spark, files(fx), keep_path=True))
+    return rows.select("model", "seed", "item_id", "event", "y_true", "y_pred")
 
 
-@query("S14_file_hashes", "SELECT TRUE AS same_hash, CAST(64 AS INTEGER) AS digits, CAST(12 AS BIGINT) AS files FROM (SELECT count(*) AS n FROM orders)")
+@query("S14_file_hashes", "SELECT TRUE AS same_hash, CAST(64 AS INTEGER) AS digits, CAST(14 AS BIGINT) AS files FROM (SELECT count(*) AS n FROM orders)")
 def _(fx):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels")
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
     h = IO.file_sha256(fx.spark, [f"{fx.dir}/{n}.parquet" for n in names])
     again = fx.spark.read.format("binaryFile").load([f"{fx.dir}/{n}.parquet" for n in names]).select(F.col("path").alias("p"), F.sha2("content", 256).alias("s"))
     return h.join(again, h.path == again.p).agg(F.bool_and(F.col("sha256") == F.col("s")).alias("same_hash"), F.max(F.length("sha256")).alias("digits"), F.count(F.lit(1)).alias("files"))
