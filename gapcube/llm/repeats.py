@@ -108,7 +108,7 @@ def anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[n
 
 def occurrences(window: int, gram: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 1 << 20, text=2):
+        for b in batches(it, 1 << 18, text=2):
             data, at = flat(b.column(2))
             fp, ctx, row, place = anchors(data, at, window, gram)
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(pa.array(row)),
@@ -167,14 +167,14 @@ def shard_spans(window: int, gram: int, shard_bytes: int):
         inner = np.ones(len(text), bool)
         inner[starts + size] = False
         text[inner] = data
-        sa = suffix_array(np.append(text.astype(np.int64) + 1, 0), 257)[1:]
+        sa = suffix_array(np.append(text.astype(np.uint16) + 1, np.uint16(0)), 257)[1:]
         fresh = np.zeros(len(text), bool)
         fresh[starts] = True
         plcp = common_prefixes(text, sa, 2 * window - gram, fresh)
-        which = np.repeat(np.arange(len(size)), size + 1)
-        offset = np.arange(len(text)) - starts[which]
+        which = np.repeat(np.arange(len(size), dtype=sa.dtype), size + 1)
+        offset = np.arange(len(text), dtype=sa.dtype) - starts.astype(sa.dtype)[which]
         fits = offset + window <= size[which]
-        group = np.cumsum(plcp[sa] < window)
+        group = np.cumsum(plcp[sa] < window, dtype=sa.dtype)
         ok = fits[sa]
         x, group = sa[ok], group[ok]
         if not len(x):

@@ -15,12 +15,8 @@ FEW = 1024
 
 def s_types(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last symbol is the only smallest."""
-    n = len(s)
     change = np.flatnonzero(s[1:] != s[:-1])
-    ahead = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), max(len(change) - 1, 0))] if len(change) else np.zeros(n - 1, np.int64)
-    out = np.ones(n, bool)
-    out[:-1] = s[ahead] < s[ahead + 1]
-    return out
+    return np.append(np.repeat(s[change] < s[change + 1], np.diff(change, prepend=-1)), True)
 
 
 def spread(entries: np.ndarray, symbol: np.ndarray, into: list[list[np.ndarray]]) -> None:
@@ -72,7 +68,7 @@ def induce_bytes(s: np.ndarray, stype: np.ndarray, lms: np.ndarray, symbols: int
         j = j[j > 0] - 1
         j = j[stype[j]]
         spread(j, s[j], small)
-    out = [np.array([len(s) - 1])]  # the last symbol, alone in bucket 0
+    out = [np.array([len(s) - 1], lms.dtype)]  # the last symbol, alone in bucket 0
     for c in range(1, symbols):
         out += [large[c][0], small[c][0][::-1]]
     return np.concatenate(out)
@@ -94,11 +90,11 @@ def refine(names: np.ndarray) -> np.ndarray:
     k = 1
     while len(shared):  # places of the order that hold shared ranks
         at = order[shared]
-        group, then = rank[at], rank[np.minimum(at + k, n)]
-        by = np.lexsort((then, group))
-        at, group, then = at[by], group[by], then[by]
+        key = rank[at] * (n + 1) + rank[np.minimum(at + k, n)] + 1
+        by = np.argsort(key)
+        at, key = at[by], key[by]
         order[shared] = at
-        first = np.concatenate([[True], (group[1:] != group[:-1]) | (then[1:] != then[:-1])])
+        first = np.concatenate([[True], key[1:] != key[:-1]])
         rank[at] = shared[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
         shared = shared[~(first & np.append(first[1:], True))]
         k *= 2
@@ -129,12 +125,12 @@ def lms_names(s: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> tuple[np.nd
 
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """Suffix array of symbols 0 .. symbols - 1; the last one is 0 and occurs nowhere else."""
-    s = s.astype(np.int64)
+    s = s.astype(np.uint16 if symbols <= 1 << 16 else np.int64)  # short symbols are sorted by radix
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
     stype = s_types(s)
-    lms = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1
+    lms = (np.flatnonzero(stype[1:] & ~stype[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     first = induce_bytes(s, stype, lms, symbols)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
@@ -152,14 +148,14 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, fresh: np.ndarr
     step. `fresh` marks positions that are compared in any case (the starts of texts).
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
-    x = np.arange(n)
+    x = np.arange(n, dtype=sa.dtype)
     own = fresh | (before <= 0)
     rest = np.flatnonzero(~own)
     own[rest] = (rest == 0) | (data[rest - 1] != data[before[rest] - 1])
     at = np.flatnonzero(own & (before >= 0))
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, sa.dtype)
     raw = np.concatenate([data, np.full(8, 0, np.uint8)])
     eight = np.ndarray((n + 1,), "<u8", raw, strides=(1,))
     live, k = at, 0
