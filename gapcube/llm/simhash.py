@@ -127,7 +127,7 @@ def fingerprints(data: np.ndarray, at: np.ndarray, words: int = WORDS, seed: int
 
 def marks(words: int, seed: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 1 << 20):
+        for b in batches(it, 1 << 18):
             data, at = flat(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(data, at, words, seed).view(np.int64)), b.column(2)], names=["id", "fp", "check"])
     return run
