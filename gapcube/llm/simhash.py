@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapcube.llm.common import batches, flat, table, text_or_empty
@@ -89,8 +89,9 @@ FOLD[65:91] += 32
 FOLD[9:14] = 32
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """64-bit fingerprints of the rows of a flat string column."""
+def shingle_hashes(data: np.ndarray, at: np.ndarray, words: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all rows of a flat string column, and the n + 1 offsets of the rows. A row with fewer
+    words is one shingle, a row without words has none."""
     n = len(at) - 1
     x = FOLD[data]
     blank = x == 32
@@ -113,8 +114,14 @@ def fingerprints(data: np.ndarray, at: np.ndarray, words: int = WORDS, seed: int
     row = np.repeat(np.arange(n), shingles)
     begin = first[row] + np.arange(len(row)) - base[row]
     end = begin + np.minimum(words, count[row])
-    h = xxh64(packed, to[begin], to[end] - 1 - to[begin], seed)
-    out = np.zeros(n, U)
+    return xxh64(packed, to[begin], to[end] - 1 - to[begin], seed), base
+
+
+def fingerprints(data: np.ndarray, at: np.ndarray, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """64-bit fingerprints of the rows of a flat string column."""
+    h, base = shingle_hashes(data, at, words, seed)
+    shingles = base[1:] - base[:-1]
+    out = np.zeros(len(at) - 1, U)
     some = np.flatnonzero(shingles)
     for i in range(0, len(some), 512):  # bit sums of a few rows at a time: 64 bytes a shingle
         rows = some[i:i + 512]
@@ -246,17 +253,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("check"))
     rows = written(rows.mapInArrow(marks(words, seed), "id long, fp long, check long"), "fingerprints")
     # a fingerprint stands for its rows; the fingerprint itself is the node of the graph
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("first")), "distinct")
-    found = connected(links_of(distinct.select("fp", F.col("fp").alias("node")), distance))
-    of = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    distinct = written(rows.groupBy("fp").agg(*smallest()), "distinct")
+    return verdict(rows, distinct, connected(links_of(distinct.select("fp", F.col("fp").alias("node")), distance)), "fp")
+
+
+def smallest() -> list[Column]:
+    """Of the rows (id, check) of a node: the smallest id, and the row that is kept."""
+    return [F.min("id").alias("low"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("first")]
+
+
+def verdict(rows: DataFrame, distinct: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """Every row (id, check, `by`) with its component: id, `by`, component_id, text_check, first."""
+    of = distinct.join(found.withColumnRenamed("node", by), by, "left").withColumn("component", F.coalesce("component", by))
     named = of.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
-    verdict = written(of.select("fp", "component").join(named, "component").select("fp", "component_id", "first"), "named")
-    # rows of one fingerprint may be a third of all: spread them and repeat the verdict
+    known = written(of.select(by, "component").join(named, "component").select(by, "component_id", "first"), "named")
+    # rows of one node may be a third of all: spread them and repeat the verdict
     salt = 16
     left = rows.withColumn("salt", F.pmod(F.xxhash64("id", "check"), F.lit(salt)).cast("int"))
-    right = verdict.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(salt)])))
+    right = known.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(salt)])))
     first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.check") == F.col("check"))
-    return left.join(right, ["fp", "salt"]).select("id", "fp", "component_id", F.col("check").alias("text_check"), first.alias("first"))
+    return left.join(right, [by, "salt"]).select("id", by, "component_id", F.col("check").alias("text_check"), first.alias("first"))
 
 
 def op2_simhash(spark, sf_dir):

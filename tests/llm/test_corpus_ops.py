@@ -14,7 +14,7 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gapcube.llm import common, components, exact, packing, repeats, simhash, suffix, toxicity
+from gapcube.llm import common, components, exact, packing, repeats, shingles, simhash, suffix, toxicity
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables absent")
@@ -235,3 +235,50 @@ def test_exact_dedup_agrees_with_sql(spark):
     got = exact.op6_exact_dedup(spark, DATA).toPandas()
     want = con.execute(exact.ORACLE).fetchdf()[got.columns]
     pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), want.sort_values("doc_id", ignore_index=True), check_dtype=False)
+
+
+def similarity(a, b):
+    def of(t):
+        w = t.lower().split()
+        return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
+    x, y = of(a), of(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("sample", [4096, 1])  # all shared shingles are known as common, or none
+def test_near_copies_of_every_similarity(spark, monkeypatch, sample):
+    monkeypatch.setattr(shingles, "SAMPLE", sample)
+    rng = random.Random(7)
+    words = ["w%d" % i for i in range(3000)]
+    docs = []
+    for g in range(40):
+        base = rng.choices(words, k=rng.randrange(5, 200))
+        docs.append((len(docs), " ".join(base)))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 30)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            copy = copy[rng.randrange(1 + len(base) // 12):]
+            docs.append((len(docs), " ".join(copy).upper()))
+    docs += [(900, None), (901, ""), (902, "\n"), (903, "a b"), (904, "A\tb"), (None, "a b"), (905, "a c"), (906, "a b c d e f g h"), (907, "a b c d e f g h i")]
+    docs += [(1000 + i, " ".join(["q%d" % k for k in range(60)] + ["z%d" % i])) for i in range(60)]
+    texts = [t or "" for _, t in docs]
+    up = list(range(len(docs)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    far = [p for p in pairs if (fingerprint(texts[p[0]]) ^ fingerprint(texts[p[1]])).bit_count() > 3]
+    for i, j in pairs:
+        a, b = top(i), top(j)
+        up[max(a, b)] = min(a, b)
+    assert len(far) > 20  # pairs that three bits miss
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS node").repartition(5)
+    got = [(r.id, r.component_id, r.first) for r in shingles.near_copies(df).collect()]
+    want = [(i, docs[top(k)][0], i == docs[top(k)][0]) for k, (i, _) in enumerate(docs)]
+    assert Counter(got) == Counter(want)
+    assert shingles.near_copies(df.limit(0)).count() == 0
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df.drop("node"), "").collect()}
+    assert left == {i for i, c, first in want if first}
