@@ -282,3 +282,24 @@ def test_near_copies_of_every_similarity(spark, monkeypatch, sample):
     assert shingles.near_copies(df.limit(0)).count() == 0
     left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df.drop("node"), "").collect()}
     assert left == {i for i, c, first in want if first}
+
+
+def test_packing_of_very_long_white_space(spark, monkeypatch):
+    lib = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "LONG_RUN", 4)
+    encode = packing.encoder(path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    texts = ["".join(rng.choices([" ", " " * 5, "\n\t\r \n", "\xa0" * 4, " " * 6, "\x1c" * 5, "a", "'s", "12", "!", "é", "<|endoftext|>"], k=rng.randrange(12))) for _ in range(2000)]
+    for t in texts:
+        assert list(encode(t)) == lib.encode(t, add_special_tokens=False).ids
+    monkeypatch.undo()
+    n = 3_000_000
+    docs = [(1, "a" + " " * n + "b"), (2, "\n" * n), (3, "x")]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("doc_id").sum("length").collect()
+    coder = packing.encoder(path("byte_bpe_50k.json"))
+    assert {r[0]: r[1] for r in got} == {i: len(coder(t)) + 1 for i, t in docs}
+    short = {c: np.array(lib.encode(c * 50_000, add_special_tokens=False).ids) for c in " \n"}
+    assert [*coder("a")] + [*coder(" " * (n - 1))] + [*coder(" b")] == [*coder(docs[0][1])]
+    for c in " \n":  # the ids of a run repeat
+        ids = np.array(coder(c * n))
+        assert (ids[:len(short[c]) // 2] == short[c][:len(short[c]) // 2]).all()
