@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs earn points for length and commas and pass them to their ancestors, less with every step; a container's
-points are discounted by its link density. The best container is kept, and beside it the siblings that score well or are
-plain paragraphs. Boilerplate elements earn and keep nothing.
+points are discounted by its link density. The best container is kept with the article (or main element) around it,
+less what is mostly links beside the way up; beside that the siblings that score well, headings and plain paragraphs.
+Boilerplate elements earn and keep nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ DROP = RAW | set("head nav footer aside form header menu button select option sv
 #: Class, id or role words of boilerplate.
 BAD = re.compile(r"""(?:^|[\s"'_-])(?:ads?|advert\w*|banner|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|breadcrumbs?"""
                  r"""|newsletter|notice|notices|pager|pagination|popup|modal|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|navigation)(?:$|[\s"'_-])""", re.I)
+#: A class or id that consists of boilerplate words and these is boilerplate; others (`has-sidebar`, `with-menu`) name what is beside them.
+NEUTRAL = set("site page main global top bottom left right primary secondary post entry article box bar list section area block wrap wrapper container "
+              "inner outer item items link links group js".split())
+#: Headers of these hold the heading of the text.
+TITLED = set("post entry article page section".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
             "li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
@@ -36,6 +43,8 @@ SPACES = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
 
 BASE, PER_CHARS, MOST_FOR_LENGTH = 1.0, 100.0, 3.0
 SIBLING_SHARE, PLAIN_DENSITY, PLAIN_CHARS = 0.2, 0.25, 25
+#: Blocks with a larger share of link text are lists of links.
+LINK_DENSITY = 0.5
 
 
 class Node:
@@ -47,6 +56,28 @@ class Node:
         self.score = self.chars = self.links = 0.0
 
 
+def boilerplate(names: str) -> bool:
+    """One of the class, id or role names is boilerplate as a whole."""
+    if not BAD.search(names):
+        return False
+    for name in names.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        bad = {x for x in parts if BAD.fullmatch(x)}
+        if bad and all(x in bad or x in NEUTRAL or x.isdigit() for x in parts) and not (bad == {"header"} and TITLED & set(parts)):
+            return True
+    return False
+
+
+def inside(node: Node | None, tags: tuple[str, ...]) -> Node | None:
+    """The outermost of a node and its ancestors with one of the tags."""
+    found = None
+    while node is not None:
+        if node.tag in tags:
+            found = node
+        node = node.up
+    return found
+
+
 def tree(html: str) -> Node:
     """A tolerant tree: text children are strings; unclosed and stray tags do no harm."""
     root = here = Node("html", None, False)
@@ -95,11 +126,11 @@ def tree(html: str) -> Node:
                     if tag not in ("tr",):
                         break
                 x = x.up
-        drop = tag in DROP
+        drop = tag in DROP and not (tag == "header" and inside(here, ("article",)))  # an article's own header holds its heading
         if not drop and m[3]:
             for a in MARK.finditer(m[3]):
                 name = a[1].lower()
-                if name == "hidden" or name == "aria-hidden" and "true" in (a[2] or "").lower() or name in ("class", "id", "role") and a[2] and BAD.search(a[2].strip("\"'")):
+                if name == "hidden" or name == "aria-hidden" and "true" in (a[2] or "").lower() or name in ("class", "id", "role") and a[2] and boilerplate(a[2].strip("\"'")):
                     drop = tag not in ("article", "main")
                     break
         x = Node(tag, here, drop)
@@ -108,8 +139,8 @@ def tree(html: str) -> Node:
     return root
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of a node's blocks in page order, white space normalised, empty ones left out."""
+def blocks(node: Node, but: set[int] = frozenset()) -> list[str]:
+    """Texts of a node's blocks in page order, white space normalised, empty ones and the nodes `but` (by id()) left out."""
     out: list[str] = []
     run: list[str] = []
 
@@ -127,7 +158,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif not x.drop:
+        elif not x.drop and id(x) not in but:
             if x.tag in BLOCK:
                 flush()
                 todo.append(None)
@@ -153,7 +184,7 @@ def weigh(root: Node) -> Node:
             x.up.links += x.links
     for x in order:
         if x.tag in ("p", "pre", "td", "blockquote") or x.tag in BLOCK and any(isinstance(k, str) and k.strip() for k in x.kids):
-            if x.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or x.chars < 1:
+            if x.tag in HEADINGS or x.chars < 1:
                 continue
             commas = sum(k.count(",") for k in texts(x))
             points = (BASE + commas + min(x.chars / PER_CHARS, MOST_FOR_LENGTH)) * (1 - x.links / x.chars)
@@ -188,16 +219,32 @@ def extract(html: str | None) -> str:
     best = weigh(root)
     if best.up is None:
         return "\n".join(blocks(best))
+    top = inside(best, ("article",)) or inside(best, ("main",))
+    named = top is not None
+    top, links = top or best, set()
+    way = best
+    while way is not top:
+        links |= {id(x) for x in way.up.kids if not isinstance(x, str) and x is not way and x.tag in BLOCK and x.tag not in HEADINGS and density(x) > LINK_DENSITY}
+        way = way.up
     out: list[str] = []
-    for x in best.up.kids:
+    for x in top.up.kids if top.up else [top]:
         if isinstance(x, str) or x.drop:
             continue
-        density = x.links / x.chars if x.chars else 0.0
-        if x is best or x.score * (1 - density) >= max(10.0, SIBLING_SHARE * best.score) or x.tag == "p" and x.chars >= PLAIN_CHARS and density < PLAIN_DENSITY:
-            out += blocks(x)
+        if x is top or x.tag in HEADINGS or x.score * (1 - density(x)) >= max(10.0, SIBLING_SHARE * best.score) or density(x) < PLAIN_DENSITY and (
+                x.tag == "p" and x.chars >= PLAIN_CHARS or not named and x.tag == top.tag and titled(x)):
+            out += blocks(x, links)
     return "\n".join(out)
 
 
+def density(x: Node) -> float:
+    return x.links / x.chars if x.chars else 0.0
+
+
+def titled(x: Node) -> bool:
+    """A part of a text without article: a block that holds a heading or paragraphs."""
+    return any(not isinstance(k, str) and not k.drop and k.tag in HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "table"} for k in x.kids)
+
+
 def pages_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it, text=2):
         found = [extract(h) for h in b.column(2).to_pylist()]

@@ -134,3 +134,27 @@ def test_order_of_rules_never_changes_the_verdict(spark):
     docs = rules.counted(spark.createDataFrame(rows, "doc_id long, text string"))
     kept = [{r.doc_id for r in docs.withColumn("by", rules.cascade(list(order))).filter("by IS NULL").collect()} for order in (rules.RULES, rules.RULES[::-1])]
     assert kept[0] == kept[1] == {4}
+
+
+LONG = ["Paragraph %d, " % k + "with words, and commas, " * 80 + "end." for k in range(10)]
+BODY = "".join(f"<p>{p}</p>" for p in LONG)
+
+
+@pytest.mark.parametrize("page, rest", [
+    (f"<article><section>{BODY}</section><section><h2>Short</h2><p>A last remark of about sixty characters, for the reader here.</p></section></article>", (["Short", "A last remark of about sixty characters, for the reader here."],)),
+    (f"<article><h1>Top</h1><div class=content>{BODY}</div></article>", (["Top"], [])),
+    (f"<main><article><header class='entry-header'><h1>Top</h1></header><div><section><h2>One</h2><div>{BODY}</div></section></div></article></main>", (["Top", "One"], [])),
+    (f"<div class='wrap has-sidebar'><div class='with-menu'><h1>Top</h1><div class=content>{BODY}</div></div></div>", (["Top"], [])),
+    (f"<div><div>{BODY}</div><div><h2>Short</h2><p>Only this.</p></div></div>", (["Short", "Only this."],)),
+    (f"<article><h1><a href=/x>Top</a></h1><div>{BODY}</div><p>Fin.</p></article>", (["Top"], ["Fin."])),
+])
+def test_html_loses_nothing_of_the_article(page, rest):
+    before, after = rest if len(rest) == 2 else ([], rest[0])
+    junk = "<div class='site-nav'><p>Go, here, and there, and everywhere else.</p></div>"
+    end = "<div class='main-sidebar'><p>More, of the same, and on, and on, for ever.</p></div><div><ul><li><a href=/1>Some other page</a></li></ul></div>"
+    assert html.extract(f"<html><body>{junk}{page}{end}</body></html>") == "\n".join([*before, *LONG, *after])
+
+
+def test_html_links_beside_the_body_are_left_out():
+    page = f"<article><h1>Top</h1><ul><li><a href=/1>One link</a></li><li><a href=/2>Another link</a></li></ul><div>{BODY}</div></article>"
+    assert html.extract(page) == "\n".join(["Top", *LONG])
