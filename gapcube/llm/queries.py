@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gapcube.llm import bpe, chat, exact, html, ordinal, packing, repeats, rules, simhash, toxicity
+from gapcube.llm import bpe, chat, exact, html, language_model, ordinal, packing, repeats, rules, search, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": ordinal.op10_quality_classifier,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_ranked_lexical_search": search.op12_ranked_lexical_search,
+    "op13_lm_scoring": language_model.op13_lm_scoring,
 }
-ORACLES = {"op6_exact_dedup": exact.ORACLE, "op8_quality_rules": rules.ORACLE}
+ORACLES = {"op6_exact_dedup": exact.ORACLE, "op8_quality_rules": rules.ORACLE, "op12_ranked_lexical_search": search.ORACLE}
