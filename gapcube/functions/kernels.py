@@ -89,6 +89,26 @@ def kendall_p(n: int, discordant: int) -> float:
     return float(min(1.0, 2 * ways[: low + 1].sum()))
 
 
+def kendall_p_of(x, y) -> float:
+    """Two-sided p-value of Kendall's tau of paired values: exact without ties, else normal with the variance that ties
+    on either side leave. NaN for fewer than two pairs or where one side is constant."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    n = len(x)
+    pair = np.triu_indices(n, 1)
+    s = np.sign(x[pair[0]] - x[pair[1]]) * np.sign(y[pair[0]] - y[pair[1]])
+    tx, ty = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
+    if n < 2 or len(tx) < 2 or len(ty) < 2:
+        return float("nan")
+    if len(tx) == n and len(ty) == n:
+        return kendall_p(n, int((s < 0).sum()))
+    m = n * (n - 1.0)
+    var = (m * (2 * n + 5) - sum((t * (t - 1) * (2 * t + 5)).sum() for t in (tx, ty))) / 18
+    var += (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * m)
+    if n > 2:
+        var += (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * m * (n - 2))
+    return float(2 * NormalDist().cdf(-abs(s.sum()) / math.sqrt(var)))
+
+
 @F.pandas_udf(T.DoubleType())
 def t_sf2_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_sf2(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
@@ -120,5 +140,6 @@ def wilcoxon_udf(x: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def kendall_udf(n: pd.Series, discordant: pd.Series) -> pd.Series:
-    return pd.Series([kendall_p(a, b) for a, b in zip(n, discordant)], dtype="float64")
+def kendall_udf(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Of two arrays of paired values."""
+    return pd.Series([kendall_p_of(a, b) for a, b in zip(x, y)], dtype="float64")

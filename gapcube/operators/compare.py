@@ -112,6 +112,18 @@ def difficulty_shift(events: DataFrame, hazards: DataFrame) -> DataFrame:
         F.col("zd.hazard").alias("hardest_hazard_D"), F.col("zp.hazard").alias("hardest_hazard_P"))
 
 
+def tau_p(events: DataFrame, digits: int = 12) -> DataFrame:
+    """(model, n_events, tied, p): significance of Kendall's tau between the difficulty of events under D and P.
+
+    Means are rounded, so values that differ only by the order of a sum are ties. One entry per event meets in a row.
+    """
+    from gapcube.functions.kernels import kendall_udf
+    m = events.groupBy("model", "event").agg(F.round(F.avg("f1_D"), digits).alias("d"), F.round(F.avg("f1_P"), digits).alias("p"))
+    lists = m.groupBy("model").agg(F.collect_list("d").alias("d"), F.collect_list("p").alias("p"))
+    tied = (F.size(F.array_distinct("d")) < F.size("d")) | (F.size(F.array_distinct("p")) < F.size("p"))
+    return lists.select("model", F.size("d").cast("bigint").alias("n_events"), tied.alias("tied"), kendall_udf("d", "p").alias("p"))
+
+
 def model_difference(contrib: DataFrame, first: str, second: str, level: float = 0.95) -> DataFrame:
     """Paired difference of two models: by event, and by shared seed. `contrib` (model, event, seed, x)."""
     def side(by):

@@ -1,12 +1,14 @@
 """Training plans and capped training samples.
 
 A plan describes pools by their sizes and membership rule; the E x N pool memberships are never stored. Samples are the
-lowest hashes of each run, found by counting hash buckets first, so only about `cap` rows per run are ranked.
+lowest hashes of each run. Pool sizes are known from event counts, so one pass over the rows keeps the draws below the
+share of the hash range that a run needs, with some slack; a count per run proves that enough were kept, and only runs
+that fell short are drawn again from a wider range. What is kept and ranked is about `cap` rows per run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from pyspark.sql.window import Window
 
 from gapcube.functions.columns import dbl, hash32
 from gapcube.operators.filters import text_digest
-from gapcube.operators.select import take_lowest, take_lowest_hash
+from gapcube.operators.select import take_lowest_hash
+from gapcube.session import written
 
 CAP, CHRONO_MIN = 6000, 3000
 
@@ -24,11 +27,16 @@ def capped(cap: int):
 
 
 def training_plan(meta: DataFrame, splits: DataFrame, pools: DataFrame, cap: int = CAP, chrono_min: int = CHRONO_MIN) -> DataFrame:
-    """(run_key, pool_n, n_train, eval_n) of the random, temporal, held-out, chronological and size-matched conditions."""
+    """(run_key, pool_n, n_train, eval_n) of the random, temporal, held-out, chronological and size-matched conditions;
+    where `splits` has text_norm also those whose pool has no text of the holdout."""
     tot = splits.agg(F.count(F.lit(1)).alias("n_all"), F.count(F.when(F.col("in_R"), 1)).alias("n_R"), F.count(F.when(F.col("in_T"), 1)).alias("n_T"))
     single = tot.select(F.explode(F.array(
         F.struct(F.lit("id_random").alias("run_key"), (F.col("n_all") - F.col("n_R")).alias("pool_n"), F.col("n_R").alias("eval_n")),
         F.struct(F.lit("id_temporal").alias("run_key"), (F.col("n_all") - F.col("n_T")).alias("pool_n"), F.col("n_T").alias("eval_n")))).alias("r")).select("r.*", F.lit(None).cast("bigint").alias("n_override"))
+    if "text_norm" in splits.columns:
+        for part, kind in (("in_R", "id_random_dedup"), ("in_T", "id_temporal_dedup")):
+            sizes = dedup_pool(splits, part).agg(F.count(F.lit(1)).alias("pool_n")).withColumn("eval_n", tot.select("n_" + part[-1]).scalar())
+            single = single.unionByName(sizes.select(F.lit(kind).alias("run_key"), "pool_n", "eval_n", F.lit(None).cast("bigint").alias("n_override")))
     p = pools.withColumn("n_all", tot.select("n_all").scalar())
     rest, chrono = F.col("n_all") - F.col("n"), F.col("chrono_pool_n")
     none = F.lit(None).cast("bigint")
@@ -65,57 +73,94 @@ def with_draw(df: DataFrame, *parts: str) -> DataFrame:
     return df.withColumn("draw", hash32(*[F.col(p) for p in parts]))
 
 
+#: The range of a draw, and the standard deviations and rows by which a run's share of it is widened.
+RANGE, SLACK, MORE = 1 << 32, 6.0, 32
+
+
+def lowest_draws(runs: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The first `need` rows of each run by (draw, item_num). Item ids are unique in a pool, so draws are spread evenly.
+
+    `runs` (run_key, seed, pool_n, need, ...) has a row per run; `rows_of(runs)` gives the pool rows of the runs with
+    all columns of the runs and `draw`.
+    """
+    share = (F.col("need") + SLACK * F.sqrt("need") + MORE) / F.greatest("pool_n", F.lit(1))
+    runs = written(runs.withColumn("limit", F.least(F.lit(float(RANGE)), F.ceil(share * RANGE).cast("double"))), "runs")
+    found = None
+    while True:
+        drawn = written(rows_of(runs).filter("draw < `limit`"), "drawn")
+        have = drawn.groupBy("run_key", "seed").agg(F.count(F.lit(1)).alias("have"))
+        short = runs.join(have, ["run_key", "seed"], "left").filter(f"coalesce(have, 0) < need AND `limit` < {RANGE}")
+        short = written(short.drop("have").withColumn("limit", F.least(F.lit(float(RANGE)), F.col("limit") * 4)), "short")
+        done = short.isEmpty()
+        part = drawn if done else drawn.join(short.select("run_key", "seed"), ["run_key", "seed"], "left_anti")
+        found = part if found is None else found.unionByName(part)
+        if done:
+            break
+        runs = short
+    rank = F.row_number().over(Window.partitionBy("run_key", "seed").orderBy("draw", "item_num"))
+    return found.withColumn("rank", rank).filter("rank <= need").drop("rank", "draw", "limit", "pool_n", "need")
+
+
+def meeting(rows: DataFrame, runs: DataFrame, when: str) -> DataFrame:
+    """Every row beside the runs x for which `when` holds: one array of runs (events times seeds), exploded in place."""
+    listed = runs.agg(F.collect_list(F.struct(*runs.columns)).alias("all_runs"))
+    both = rows.withColumn("all_runs", listed.scalar()).select(*rows.columns, F.explode(F.expr(f"filter(all_runs, x -> {when})")).alias("x")).select(*rows.columns, "x.*")
+    return with_draw(both, "run_key", "seed", "item_id")
+
+
+def seeded(df: DataFrame, seeds: Sequence[str]) -> DataFrame:
+    return df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+
+
 def sample_pool(pool: DataFrame, run_key: str, seeds: Sequence[str], cap: int = CAP) -> DataFrame:
     """(run_key, seed, item_id, item_num, event): seeded samples of one pool."""
-    rows = pool.select("item_id", "item_num", "event", F.lit(run_key).alias("run_key"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
-    return take_lowest_hash(with_draw(rows, "run_key", "seed", "item_id"), ["run_key", "seed"], "draw", "item_num", capped(cap)).drop("draw")
+    size = pool.agg(F.count(F.lit(1)).alias("pool_n"))
+    runs = seeded(size.select(F.lit(run_key).alias("run_key"), "pool_n", F.least("pool_n", F.lit(cap)).alias("need")), seeds)
+    return lowest_draws(runs, lambda r: meeting(pool.select("item_id", "item_num", "event"), r, "true")).select("run_key", "seed", "item_id", "item_num", "event")
+
+
+def heldout_runs(meta: DataFrame, seeds: Sequence[str], cap: int, kind: str) -> DataFrame:
+    sizes = meta.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n").alias("t"))
+    rest = (F.col("t") - F.col("n")).alias("pool_n")
+    runs = sizes.withColumn("t", total.scalar()).select(F.col("event").alias("held_out"), F.concat(F.lit(kind + ":"), "event").alias("run_key"), rest)
+    return seeded(runs.withColumn("need", F.least("pool_n", F.lit(cap))), seeds)
 
 
 def sample_heldout(meta: DataFrame, seeds: Sequence[str], cap: int = CAP, kind: str = "loeo", carry: Sequence[str] = ()) -> DataFrame:
     """Samples of every held-out run: the pool of `kind:e` is every message of the other events."""
-    events = meta.groupBy("event").agg(F.lit(1).alias("one")).agg(F.array_sort(F.collect_list("event")).alias("all_events"))
-    rows = meta.select("item_id", "item_num", "event", *carry).withColumn("all_events", events.scalar())
-    rows = rows.select("item_id", "item_num", "event", *carry, F.explode(F.expr("filter(all_events, e -> e <> event)")).alias("held_out"))
-    rows = rows.select("*", F.concat(F.lit(kind + ":"), "held_out").alias("run_key"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
-    return take_lowest_hash(with_draw(rows, "run_key", "seed", "item_id"), ["run_key", "seed"], "draw", "item_num", capped(cap)).drop("draw")
+    rows = meta.select("item_id", "item_num", "event", *carry)
+    return lowest_draws(heldout_runs(meta, seeds, cap, kind), lambda r: meeting(rows, r, "x.held_out <> event"))
 
 
 def sample_chrono(meta: DataFrame, pools: DataFrame, seeds: Sequence[str], cap: int = CAP, chrono_min: int = CHRONO_MIN, carry: Sequence[str] = ()) -> DataFrame:
     """Samples of every eligible chronological run: messages posted before the held-out event's first post."""
-    firsts = pools.filter(F.col("chrono_pool_n") >= chrono_min).agg(F.collect_list(F.struct("event", "first_post")).alias("f"))  # one entry per event
-    rows = meta.select("item_id", "item_num", "event", "posted_at", *carry).withColumn("f", firsts.scalar())
-    rows = rows.select("item_id", "item_num", "event", *carry, F.explode(F.expr("filter(f, x -> posted_at < x.first_post)")).alias("x"))
-    rows = rows.select("item_id", "item_num", "event", *carry, F.col("x.event").alias("held_out"), F.concat(F.lit("chrono:"), "x.event").alias("run_key"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
-    return take_lowest_hash(with_draw(rows, "run_key", "seed", "item_id"), ["run_key", "seed"], "draw", "item_num", capped(cap)).drop("draw")
+    some = pools.filter(F.col("chrono_pool_n") >= chrono_min)
+    runs = seeded(some.select(F.col("event").alias("held_out"), "first_post", F.concat(F.lit("chrono:"), "event").alias("run_key"), F.col("chrono_pool_n").alias("pool_n"), F.least("chrono_pool_n", F.lit(cap)).alias("need")), seeds)
+    rows = meta.select("item_id", "item_num", "event", "posted_at", *carry)
+    return lowest_draws(runs, lambda r: meeting(rows, r, "posted_at < x.first_post").drop("posted_at", "first_post"))
 
 
 def sample_size_matched(meta: DataFrame, pools: DataFrame, seeds: Sequence[str], cap: int = CAP, chrono_min: int = CHRONO_MIN, carry: Sequence[str] = ()) -> DataFrame:
     """Held-out samples of the size of the chronological run of the same event."""
-    wanted = pools.filter(F.col("chrono_pool_n") >= chrono_min).agg(F.collect_list(F.struct("event", F.least("chrono_pool_n", F.lit(cap)).alias("need"))).alias("w"))  # one entry per event
-    rows = meta.select("item_id", "item_num", "event", *carry).withColumn("w", wanted.scalar())
-    rows = rows.select("item_id", "item_num", "event", *carry, F.explode(F.expr("filter(w, x -> x.event <> event)")).alias("x"))
-    rows = rows.select("item_id", "item_num", "event", *carry, F.col("x.event").alias("held_out"), F.col("x.need").alias("need"), F.concat(F.lit("loeon:"), "x.event").alias("run_key"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
-    return _fill(with_draw(rows, "run_key", "seed", "item_id"), ("run_key", "seed", "need")).drop("draw", "need")
+    wanted = pools.filter(F.col("chrono_pool_n") >= chrono_min).select(F.col("event").alias("held_out"), F.least("chrono_pool_n", F.lit(cap)).alias("size"))
+    runs = heldout_runs(meta, seeds, cap, "loeon").join(wanted, "held_out").withColumn("need", F.least("pool_n", "size")).drop("size")
+    rows = meta.select("item_id", "item_num", "event", *carry)
+    return lowest_draws(runs, lambda r: meeting(rows, r, "x.held_out <> event"))
 
 
 def sample_paired(base: DataFrame, pool: DataFrame, run_key: str, cap: int = CAP) -> DataFrame:
     """Keep the base run's sample where the pool allows and fill up from the rest of the pool."""
     kept = base.join(pool.select("item_id"), "item_id", "left_semi").withColumn("run_key", F.lit(run_key))
-    seeds = base.select("seed").distinct()
-    size = pool.agg(F.count(F.lit(1)).alias("pool_n"))
-    have = seeds.join(kept.groupBy("seed").agg(F.count(F.lit(1)).alias("kept")), "seed", "left").na.fill(0, ["kept"])
-    need = have.withColumn("pool_n", size.scalar()).select("seed", (F.least("pool_n", F.lit(cap)) - F.col("kept")).alias("need"))
-    names = need.agg(F.collect_list(F.struct("seed", "need")).alias("s"))  # one entry per seed
-    rest = pool.select("item_id", "item_num", "event").withColumn("s", names.scalar()).select("item_id", "item_num", "event", F.explode("s").alias("s")).select("item_id", "item_num", "event", "s.*")
-    rest = rest.join(base.select("seed", "item_id"), ["seed", "item_id"], "left_anti").withColumn("run_key", F.lit(run_key))
-    rest = rest.withColumn("draw", hash32(F.concat(F.col("run_key"), F.lit("|fill")), F.col("seed"), F.col("item_id")))
-    fill = _fill(rest)
-    return kept.select("run_key", "seed", "item_id", "item_num", "event").unionByName(fill.select("run_key", "seed", "item_id", "item_num", "event"))
-
-
-def _fill(rest: DataFrame, by: Sequence[str] = ("seed", "need")) -> DataFrame:
-    """First `need` rows of each group in hash order; `need` is constant inside a run, so it is part of the group."""
-    return take_lowest(rest, by, [F.shiftright("draw", 16)], [F.col("draw"), F.col("item_num")], lambda n: F.least(n, F.col("need")))
+    size = pool.agg(F.count(F.lit(1)).alias("size"))
+    have = base.select("seed").distinct().join(kept.groupBy("seed").agg(F.count(F.lit(1)).alias("kept")), "seed", "left").na.fill(0, ["kept"])
+    runs = have.withColumn("size", size.scalar()).select(F.lit(run_key).alias("run_key"), "seed", (F.col("size") - F.col("kept")).alias("pool_n"), (F.least("size", F.lit(cap)) - F.col("kept")).alias("need"))
+
+    def rest(runs: DataFrame) -> DataFrame:
+        both = meeting(pool.select("item_id", "item_num", "event"), runs, "true").join(base.select("seed", "item_id"), ["seed", "item_id"], "left_anti")
+        return both.withColumn("draw", hash32(F.concat(F.col("run_key"), F.lit("|fill")), F.col("seed"), F.col("item_id")))
+    names = ["run_key", "seed", "item_id", "item_num", "event"]
+    return kept.select(*names).unionByName(lowest_draws(runs, rest).select(*names))
 
 
 def sample_fingerprint(sample: DataFrame, by: Sequence[str] = ("run_key", "seed")) -> DataFrame:

@@ -15,12 +15,16 @@ from pyspark.sql.window import Window
 from gapcube.session import written
 
 
+#: Rows of a group's bucket that may be ranked in one window before it is narrowed further.
+RANKED = 4096
+
+
 def take_lowest(df: DataFrame, by: Sequence[str], levels: Sequence[Column], order: Sequence[Column],
                 quota: Callable[[Column], Column]) -> DataFrame:
     """Rows of each group that come first in `order`, `quota(group size)` of them.
 
-    `levels` are BIGINT bucket numbers that follow the same order, coarse to fine; the last one bounds how many rows
-    are ranked together.
+    `levels` are BIGINT bucket numbers that follow the same order, coarse to fine. The cut is narrowed until no group's
+    bucket has more than RANKED rows; the last level bounds how many are ranked together.
     """
     by = list(by)
     names = [f"_l{i}" for i in range(len(levels))]
@@ -36,15 +40,17 @@ def take_lowest(df: DataFrame, by: Sequence[str], levels: Sequence[Column], orde
         hist = hist.select("*", F.sum("_n").over(group).alias("_size"), F.sum("_n").over(upto).alias("_upto"))
         left = F.least(F.col("_left") if fixed else quota(F.col("_size")).cast("bigint"), F.col("_size"))
         cuts = hist.withColumn("_q", left).filter("_upto - _n < _q AND _q <= _upto").select(
-            *by, *[f"_c{n}" for n in fixed], F.col(name).alias(f"_c{name}"), (F.expr("_q - _upto + _n")).alias("_left"))
+            *by, *[f"_c{n}" for n in fixed], F.col(name).alias(f"_c{name}"), (F.expr("_q - _upto + _n")).alias("_left"), F.col("_n").alias("_rows"))
         fixed.append(name)
         cuts = written(cuts, "cuts")  # one row per group; a stored table has a known size
+        if (cuts.agg(F.max("_rows")).first()[0] or 0) <= RANKED:
+            break
     near = work.join(cuts, by)
     below, equal = F.lit(False), F.lit(True)
-    for n in names:
+    for n in fixed:
         below = below | (equal & (F.col(n) < F.col(f"_c{n}")))
         equal = equal & (F.col(n) == F.col(f"_c{n}"))
-    rank = F.row_number().over(Window.partitionBy(*by, *names).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*by, *fixed).orderBy(*order))
     edge = near.filter(equal).withColumn("_rank", rank).filter("_rank <= _left").select(*df.columns)
     return near.filter(below).select(*df.columns).unionByName(edge)
 

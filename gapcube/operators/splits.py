@@ -9,13 +9,19 @@ from pyspark.sql.window import Window
 from gapcube.functions.columns import dbl, hash32
 from gapcube.operators.select import take_lowest, take_lowest_hash
 
-ID_BLOCK_BITS = 20  # ids of one block are ranked together: at most 2^20 rows
+ID_BITS = (48, 36, 24, 12)  # ids refine by blocks; the last bounds how many rows are ranked together: 2^12
 
 
 def micros(t="posted_at") -> Column:
     return F.unix_micros(F.col(t).cast("timestamp"))
 
 
+def time_levels(us: str) -> list[Column]:
+    """Days, 30 seconds, 5 milliseconds and microseconds of a time: at most 6,000 values of one below the one before (days
+    apart), so a histogram that is narrowed level by level is short however long and dense a group is."""
+    return [F.floor(F.col(us) / unit).cast("bigint") for unit in (86_400_000_000, 30_000_000, 5000)] + [F.col(us)]
+
+
 def fraction_quota(frac: float):
     return lambda n: F.ceil(dbl(n) * F.lit(frac))
 
@@ -29,7 +35,7 @@ def random_holdout(meta: DataFrame, frac: float = 0.2, seed: str = "20260928") -
 def temporal_holdout(meta: DataFrame, frac: float = 0.2) -> DataFrame:
     """The last ceil(frac * n) items of every event by (time, id)."""
     rows = meta.select("event", "item_id", "item_num", "posted_at", micros().alias("us"))
-    levels = [-F.floor(F.col("us") / 1000000), -F.col("us"), -F.shiftright(F.col("item_num"), ID_BLOCK_BITS)]
+    levels = [-c for c in (*time_levels("us"), *[F.shiftright(F.col("item_num"), b) for b in ID_BITS])]
     order = [F.col("us").desc(), F.col("item_num").desc()]
     return take_lowest(rows, ["event"], levels, order, fraction_quota(frac)).select("event", "item_id", "item_num", "posted_at")
 

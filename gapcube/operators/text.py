@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from gapcube.functions.columns import col, dbl
 from gapcube.operators.filters import text_digest
+from gapcube.operators.select import RANKED
+from gapcube.operators.splits import time_levels
+from gapcube.session import written
 
 # Unicode white space and word characters, spelled so that every regex engine agrees; the id epoch in ms.
 SPACE = r"\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}"
@@ -110,19 +113,32 @@ def duplicate_rows(corpus: DataFrame) -> DataFrame:
 
 
 def time_histogram_median(corpus: DataFrame, t: str = "posted_at") -> DataFrame:
-    """Exact median time of every event: counts per second, then the middle positions among the few rows of that second."""
-    us = F.unix_micros(F.col(t).cast("timestamp"))
-    rows = corpus.select("event", us.alias("us"), F.floor(us / 1000000).alias("sec"))
-    g = Window.partitionBy("event")
-    upto = g.orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    sec = rows.groupBy("event", "sec").agg(F.count(F.lit(1)).alias("c")).select("event", "sec", "c", F.sum("c").over(g).alias("n"), F.sum("c").over(upto).alias("upto"))
-    lo, hi = F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")
-    wanted = sec.filter((F.col("upto") >= lo) & (F.col("upto") - F.col("c") < hi)).select("event", "sec", "n", (F.col("upto") - F.col("c")).alias("before"))
-    vals = rows.join(wanted, ["event", "sec"]).groupBy("event", "sec", "us", "n", "before").agg(F.count(F.lit(1)).alias("c"))
-    inner = Window.partitionBy("event", "sec").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    v = vals.withColumn("top", F.col("before") + F.sum("c").over(inner))
-    low, high = F.min(F.when(F.col("top") >= lo, F.col("us"))), F.min(F.when(F.col("top") >= hi, F.col("us")))
-    return v.groupBy("event").agg(F.timestamp_micros(F.floor((low + high) / 2)).alias("median_post"))
+    """Exact median time of every event: both middle positions are narrowed from days to microseconds by counts, so no
+    window holds more buckets of an event than its days or the parts of one coarser bucket."""
+    rows = corpus.select("event", F.unix_micros(F.col(t).cast("timestamp")).alias("us")).filter("us IS NOT NULL")
+    names = [f"l{i}" for i in range(len(time_levels("us")))]
+    rows = rows.select("event", *[c.alias(n) for c, n in zip(time_levels("us"), names)])
+    found, fixed = None, []  # (event, the bucket of every level so far, position in it, its rows)
+    while names[-1] not in fixed:
+        # a bucket of few rows is counted by microseconds at once
+        name = names[-1] if found is not None and found.agg(F.max("c")).first()[0] <= RANKED else names[len(fixed)]
+        some = rows if found is None else rows.join(found.select("event", *fixed).distinct(), ["event", *fixed], "left_semi")
+        counts = some.groupBy("event", *fixed, name).agg(F.count(F.lit(1)).alias("c"))
+        group = Window.partitionBy("event", *fixed)
+        counts = counts.select("*", F.sum("c").over(group.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(group).alias("n"))
+        if found is None:
+            narrowed = counts.select("*", F.explode(F.array(F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2"))).alias("position"))
+        else:
+            narrowed = counts.join(found.select("event", *fixed, "position"), ["event", *fixed])
+        narrowed = narrowed.filter("upto - c < position AND position <= upto")
+        found = written(narrowed.select("event", *fixed, name, (F.col("position") - F.col("upto") + F.col("c")).alias("position"), "c"), "middle")
+        fixed.append(name)
+        if found.isEmpty():
+            break
+    if names[-1] not in fixed:
+        found = found.withColumn(names[-1], F.lit(None).cast("bigint"))
+    # where the positions are equal both rows stand for one time
+    return found.groupBy("event").agg(F.timestamp_micros(F.floor((F.min(names[-1]) + F.max(names[-1])) / 2)).alias("median_post"))
 
 
 def event_profile(corpus: DataFrame) -> DataFrame:

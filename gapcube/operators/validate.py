@@ -7,19 +7,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gapcube.functions.columns import f1
 from gapcube.operators import cube as C
+from gapcube.session import written
 
 
 class ValidationError(ValueError):
     pass
 
 
-def labelled(pred: DataFrame, meta: DataFrame) -> DataFrame:
-    """Prediction rows beside their metadata row (NULL where the id is unknown)."""
+def checked_events(pred: DataFrame, meta: DataFrame, classes: DataFrame, keys: Sequence[str] = C.RUN) -> DataFrame:
+    """One row per run and predicted event with every count the checks need: rows, items (each item counts in one event of
+    its run), unknown, wrong_event, wrong_label, stray, known.
+
+    Rows are exchanged once, by item: that serves the join with the metadata, the counts of an item, and the mark of an
+    item's first event; what follows is combined before it moves. An item's rows of one run meet in one task.
+    """
+    keys = list(keys)
     m = meta.select("item_id", F.col("event").alias("m_event"), F.col("label").alias("m_label"))
-    return pred.join(m, "item_id", "left")
+    known = F.col("m_event").isNotNull()
+    rows = pred.select(*keys, "item_id", "event", "y_true", "y_pred").repartition("item_id").join(m, "item_id", "left").withColumn("classes", classes.scalar())
+    tests = {"rows": F.lit(True), "unknown": ~known, "wrong_event": known & (F.col("event") != F.col("m_event")), "wrong_label": known & (F.col("y_true") != F.col("m_label")),
+             "stray": ~F.array_contains("classes", F.col("y_pred")), "known": known}
+    per_item = rows.groupBy("item_id", *keys, "event").agg(*[F.count(F.when(c, 1)).alias(n) for n, c in tests.items()])
+    first = F.row_number().over(Window.partitionBy("item_id", *keys).orderBy("event")) == 1
+    return per_item.withColumn("items", first.cast("bigint")).groupBy(*keys, "event").agg(*[F.sum(n).alias(n) for n in (*tests, "items")])
 
 
 def dup_rows(pred: DataFrame, keys: Sequence[str] = C.RUN) -> DataFrame:
@@ -29,21 +43,26 @@ def dup_rows(pred: DataFrame, keys: Sequence[str] = C.RUN) -> DataFrame:
 
 
 def row_checks(pred: DataFrame, meta: DataFrame, classes: DataFrame, keys: Sequence[str] = C.RUN) -> DataFrame:
-    """Unknown items, wrong events, wrong labels and stray classes in one pass over the joined rows."""
-    known = F.col("m_event").isNotNull()
-    stray = ~F.array_contains("classes", F.col("y_pred"))
-    return labelled(pred, meta).withColumn("classes", classes.scalar()).groupBy(*keys).agg(
-        F.count(F.when(~known, 1)).alias("unknown_items"), F.count(F.when(known & (F.col("event") != F.col("m_event")), 1)).alias("wrong_event"),
-        F.count(F.when(known & (F.col("y_true") != F.col("m_label")), 1)).alias("wrong_label"), F.count(F.when(stray, 1)).alias("stray_classes"))
+    """Unknown items, wrong events, wrong labels and stray classes per run."""
+    return run_checks(checked_events(pred, meta, classes, keys), keys).drop("dup_rows")
+
+
+def run_checks(checked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return checked.groupBy(*keys).agg(F.sum(F.col("rows") - F.col("items")).alias("dup_rows"), F.sum("unknown").alias("unknown_items"), F.sum("wrong_event").alias("wrong_event"),
+                                      F.sum("wrong_label").alias("wrong_label"), F.sum("stray").alias("stray_classes"))
 
 
 def event_coverage(pred: DataFrame, meta: DataFrame, keys: Sequence[str] = C.RUN) -> DataFrame:
     """Per (run, event of the corpus): known rows and expected rows."""
-    got = pred.join(meta.select("item_id"), "item_id", "left_semi").groupBy(*keys, "event").agg(F.count(F.lit(1)).alias("got"))
+    known = pred.join(meta.select("item_id"), "item_id", "left_semi").groupBy(*keys, "event").agg(F.count(F.lit(1)).alias("known"))
+    return coverage_of(known, pred.select(*keys).distinct(), meta, keys)
+
+
+def coverage_of(known: DataFrame, runs: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
     size = meta.groupBy("event").agg(F.count(F.lit(1)).alias("size"))
     names = size.agg(F.collect_list(F.struct("event", "size")).alias("e"))  # one entry per event
-    runs = pred.select(*keys).distinct().withColumn("e", names.scalar()).select(*keys, F.explode("e").alias("e")).select(*keys, "e.*")
-    return runs.join(got, [*keys, "event"], "left").na.fill(0, ["got"])
+    every = runs.withColumn("e", names.scalar()).select(*keys, F.explode("e").alias("e")).select(*keys, "e.*")
+    return every.join(known.select(*keys, "event", F.col("known").alias("got")), [*keys, "event"], "left").na.fill(0, ["got"])
 
 
 def _quoted(names: Column) -> Column:
@@ -53,10 +72,11 @@ def _quoted(names: Column) -> Column:
 def validation_report(pred: DataFrame, meta: DataFrame, classes: DataFrame, partial: bool = False, keys: Sequence[str] = C.RUN) -> DataFrame:
     """One row per run with every count and the combined message (empty when the run is consistent)."""
     keys = list(keys)
-    cover = event_coverage(pred, meta, keys).groupBy(*keys).agg(
+    checked = written(checked_events(pred, meta, classes, keys), "checked")  # a row per run and event
+    cover = coverage_of(checked, checked.select(*keys).distinct(), meta, keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when((F.col("got") > 0) & (F.col("got") != F.col("size")), F.col("event")))).alias("incomplete"),
         F.array_sort(F.collect_list(F.when(F.col("got") == 0, F.col("event")))).alias("absent"))
-    j = dup_rows(pred, keys).join(row_checks(pred, meta, classes, keys), keys).join(cover, keys)
+    j = run_checks(checked, keys).join(cover, keys)
     said = [
         F.when(F.col("dup_rows") > 0, F.concat(F.col("dup_rows").cast("string"), F.lit(" duplicate item rows"))),
         F.when(F.col("unknown_items") > 0, F.concat(F.col("unknown_items").cast("string"), F.lit(" items not in the metadata"))),
@@ -126,19 +146,20 @@ def remap_labels(df: DataFrame, mapping: dict[str, str], columns: Sequence[str])
     return reduce(lambda d, c: d.replace(mapping, subset=[c]), columns, df)
 
 
-def row_level_macro(pred: DataFrame, classes: DataFrame) -> DataFrame:
-    """A second scorer that counts rows per class instead of reading the cube; used to check the first."""
-    levels = pred.groupBy("system", "seed", "event")
-    true = pred.groupBy("system", "seed", "event", F.col("y_true").alias("cls")).agg(F.count(F.lit(1)).alias("n_true"))
-    said = pred.groupBy("system", "seed", "event", F.col("y_pred").alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"))
-    hit = pred.filter("y_true = y_pred").groupBy("system", "seed", "event", F.col("y_true").alias("cls")).agg(F.count(F.lit(1)).alias("tp"))
-    on = ["system", "seed", "event", "cls"]
-    grid = levels.agg(F.count(F.lit(1)).alias("n")).withColumn("c", classes.scalar()).select("system", "seed", "event", F.explode("c").alias("cls"))
+def row_level_macro(pred: DataFrame, classes: DataFrame, keys: Sequence[str] = ("system", "seed", "event"), names: str = "f1_{}") -> DataFrame:
+    """A second scorer that counts rows per class of each level instead of reading the cube; used to check the first.
+    Without `event` among the keys the scores are pooled."""
+    keys = list(keys)
+    true = pred.groupBy(*keys, F.col("y_true").alias("cls")).agg(F.count(F.lit(1)).alias("n_true"))
+    said = pred.groupBy(*keys, F.col("y_pred").alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"))
+    hit = pred.filter("y_true = y_pred").groupBy(*keys, F.col("y_true").alias("cls")).agg(F.count(F.lit(1)).alias("tp"))
+    on = [*keys, "cls"]
+    grid = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("c", classes.scalar()).select(*keys, F.explode("c").alias("cls"))
     cells = grid.join(true, on, "left").join(said, on, "left").join(hit, on, "left").na.fill(0)
     cells = cells.select(*on, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_true") - F.col("tp")).alias("fn"))
     f = f1()
-    return cells.groupBy("system", "seed", "event").agg(
-        F.avg(F.when(F.col("tp") + F.col("fn") > 0, f)).alias("f1_P"), F.avg(F.when(F.col("tp") + F.col("fn") + F.col("fp") > 0, f)).alias("f1_D"), F.avg(f).alias("f1_O"))
+    return cells.groupBy(*keys).agg(*[F.avg(f if cond is None else F.when(cond, f)).alias(names.format(c)) for c, cond in (
+        ("P", F.col("tp") + F.col("fn") > 0), ("D", F.col("tp") + F.col("fn") + F.col("fp") > 0), ("O", None))])
 
 
 def meta_fingerprint(meta: DataFrame) -> DataFrame:

@@ -130,11 +130,24 @@ def _(fx):
     return rounded(G.class_recall(fx.cube))
 
 
-@query("C14_scorer_agreement", WITH + " SELECT 0.0::DOUBLE AS max_abs_diff, CAST(count(DISTINCT (system, seed, event)) * 3 AS BIGINT) AS n_scores FROM cube")
+# row counts by definition, never the cube: every score of a level straight from the predictions
+ROW_SCORES = ", ".join(f"avg({S.f1()}) FILTER ({S.mask(c)}) AS f_{c}" for c in PDO)
+
+
+def row_sql(name, keys):
+    return (f"{name}_g AS (SELECT * FROM (SELECT DISTINCT {keys} FROM pred) CROSS JOIN classes), {name} AS (SELECT {keys}, {ROW_SCORES} FROM (SELECT {keys}, cls, count(p.item_id) FILTER (p.y_true=cls AND p.y_pred=cls) AS tp, count(p.item_id) FILTER (p.y_true<>cls AND p.y_pred=cls) AS fp, count(p.item_id) FILTER (p.y_true=cls AND p.y_pred<>cls) AS fn"
+            f" FROM {name}_g JOIN pred p USING ({keys}) GROUP BY {keys}, cls) GROUP BY {keys})")
+
+
+@query("C14_scorer_agreement", SCORED + ", " + row_sql("re", "system, seed, event") + ", " + row_sql("rp", "system, seed") + f""" SELECT 'per_event' AS level, {S.r('max(greatest(' + ', '.join(f'abs(f1_{c}-f_{c})' for c in PDO) + '))', 'max_abs_diff')}, CAST(count(*)*3 AS BIGINT) AS n_scores, {S.r('avg(f_P)', 'mean_P')} FROM sc_ev JOIN re USING (system, seed, event)
+ UNION ALL SELECT 'pooled', {S.r('max(greatest(' + ', '.join(f'abs(pooled_{c}-f_{c})' for c in PDO) + '))')}, CAST(count(*)*3 AS BIGINT), {S.r('avg(f_P)')} FROM sc JOIN rp USING (system, seed)""")
 def _(fx):
     from gapcube.operators.validate import row_level_macro
-    return rounded(G.max_abs_diff(C.macro_f1(fx.cube, ["system", "seed", "event"]), row_level_macro(fx.pred, fx.classes),
-                                  ["system", "seed", "event"], ["f1_P", "f1_D", "f1_O"]))
+    events, runs = ["system", "seed", "event"], ["system", "seed"]
+    parts = (("per_event", C.macro_f1(fx.cube, events), row_level_macro(fx.stored_pred, fx.classes), events, [f"f1_{c}" for c in PDO]),
+             ("pooled", C.score_cube(fx.cube), row_level_macro(fx.stored_pred, fx.classes, runs, "pooled_{}"), runs, [f"pooled_{c}" for c in PDO]))
+    found = [G.max_abs_diff(a, b, on, names).select(F.lit(level).alias("level"), "*").withColumn("mean_P", b.agg(F.avg(names[0]).alias("m")).scalar()) for level, a, b, on, names in parts]
+    return rounded(found[0].unionByName(found[1]))
 
 
 @query("C15_undefined_left_out", WITH + f""", e AS (SELECT system, seed, event, avg({S.f1()}) FILTER (tp+fp+fn>0) AS a, {S.macro('D')} AS d FROM cube GROUP BY ALL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gapcube.functions.columns import dbl, f1, hash32, r9, rounded
@@ -9,6 +11,7 @@ from gapcube.operators import compare as K
 from gapcube.operators import cube as C
 from gapcube.operators import estimands as E
 from gapcube.operators import filters as FL
+from gapcube.operators import fits as FIT
 from gapcube.operators import inference as I
 from gapcube.operators import models as M
 from gapcube.operators import report as Q
@@ -67,6 +70,28 @@ def _(fx):
     return P.training_plan(fx.tmeta, SP.split_items(fx.tmeta), SP.chrono_pools(fx.tmeta))
 
 
+CSPLIT = "WITH " + CANON + ", " + split_sql("canon") + ", " + pools_sql("canon")
+
+
+@query("P5_training_plan_with_texts", CSPLIT + """, t AS (SELECT count(*) AS a, count(*) FILTER (in_R) AS r, count(*) FILTER (in_T) AS t, count(*) FILTER (NOT in_R AND text_norm NOT IN (SELECT text_norm FROM splits WHERE in_R)) AS dr, count(*) FILTER (NOT in_T AND text_norm NOT IN (SELECT text_norm FROM splits WHERE in_T)) AS dt FROM splits),
+ x AS (SELECT 'id_random' AS run_key, a-r AS pool_n, r AS eval_n, NULL::BIGINT AS o FROM t UNION ALL SELECT 'id_temporal', a-t, t, NULL FROM t UNION ALL SELECT 'id_random_dedup', dr, r, NULL FROM t UNION ALL SELECT 'id_temporal_dedup', dt, t, NULL FROM t UNION ALL SELECT 'loeo:'||event, a-n, n, NULL FROM pools, t
+   UNION ALL SELECT 'chrono:'||event, chrono_pool_n, n, NULL FROM pools WHERE chrono_pool_n >= 3000 UNION ALL SELECT 'loeon:'||event, a-n, n, chrono_pool_n FROM pools, t WHERE chrono_pool_n >= 3000 AND chrono_pool_n < 6000)
+ SELECT run_key, pool_n, eval_n, least(coalesce(o, pool_n), 6000) AS n_train FROM x""")
+def _(fx):
+    return P.training_plan(fx.canonical, csplits(fx), SP.chrono_pools(fx.canonical))
+
+
+def csplits(fx):
+    """The canonical corpus with both holdouts."""
+    flags = SP.split_items(fx.canonical).select("item_id", "in_R", "in_T")
+    return written(fx.canonical.join(flags, "item_id"), "csplits")
+
+
+@query("P6_dedup_pool_temporal", CSPLIT + " SELECT item_id, event FROM splits WHERE NOT in_T AND text_norm NOT IN (SELECT text_norm FROM splits WHERE in_T)")
+def _(fx):
+    return P.dedup_pool(csplits(fx), "in_T").select("item_id", "event")
+
+
 DEDUP = "WITH " + DSPLIT + ", dp AS (SELECT * FROM dsplit WHERE NOT in_R AND text_norm NOT IN (SELECT text_norm FROM dsplit WHERE in_R))"
 
 
@@ -96,10 +121,10 @@ def sample_sql(name, src, run_key, seeds, cap, where="TRUE", extra=""):
   FROM {src} CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in seeds)}) s(seed) WHERE {where}) WHERE rn <= {cap})"""
 
 
-@query("P8_masked_samples", "WITH " + DSPLIT + ", " + sample_sql("sp", "dsplit", "'id_random'", ["42"], 500, "NOT in_R") + r""", mk AS (SELECT sp.item_id, regexp_replace(regexp_replace(d.text, '#[\p{L}\p{N}_]+', '[HASHTAG]', 'g'), '(^|[^\p{L}\p{N}_\[])(\p{Nd}[\p{Nd},.:]*)', '\1[NUM]', 'g') AS m FROM sp JOIN dsplit d USING (item_id))
+@query("P8_masked_samples", "WITH " + DSPLIT + ", " + sample_sql("sp", "dsplit", "'id_random'", ["42"], P.CAP, "NOT in_R") + r""", mk AS (SELECT sp.item_id, regexp_replace(regexp_replace(d.text, '#[\p{L}\p{N}_]+', '[HASHTAG]', 'g'), '(^|[^\p{L}\p{N}_\[])(\p{Nd}[\p{Nd},.:]*)', '\1[NUM]', 'g') AS m FROM sp JOIN dsplit d USING (item_id))
  SELECT 'id_random_mask' AS run_key, item_id, md5(m) AS masked_md5 FROM mk""")
 def _(fx):
-    base = P.sample_pool(fx.dsplit.filter("NOT in_R"), "id_random", ["42"], 500)
+    base = P.sample_pool(fx.dsplit.filter("NOT in_R"), "id_random", ["42"])
     text = fx.dsplit.select("item_id", "text")
     return base.join(text, "item_id").select(F.lit("id_random_mask").alias("run_key"), "item_id", F.md5(N.mask_tokens("text")).alias("masked_md5"))
 
@@ -113,11 +138,11 @@ def _(fx):
 
 
 HELD = "(SELECT x.*, e.event AS held_out FROM emeta x JOIN (SELECT DISTINCT event FROM emeta) e ON e.event <> x.event)"
-HELDOUT = "WITH " + EMETA + ", " + sample_sql("hs", HELD, "'loeo:' || held_out", ["42", "1"], 300, extra=", held_out, hazard, label")
+HELDOUT = "WITH " + EMETA + ", " + sample_sql("hs", HELD, "'loeo:' || held_out", ["42", "1"], P.CAP, extra=", held_out, hazard, label")
 
 
-def heldout(fx, cap=300, carry=("hazard", "label")):
-    return P.sample_heldout(fx.emeta, ["42", "1"], cap, carry=carry)
+def heldout(fx, carry=("hazard", "label")):
+    return P.sample_heldout(fx.emeta, ["42", "1"], carry=carry)
 
 
 @query("P10_training_samples", HELDOUT + " SELECT run_key, seed, item_id FROM hs")
@@ -125,17 +150,17 @@ def _(fx):
     return heldout(fx).select("run_key", "seed", "item_id")
 
 
-PAIRED = (DEDUP + ", " + sample_sql("bs", "dsplit", "'id_random'", ["42", "1"], 600, "NOT in_R") + f""", kp AS (SELECT seed, item_id FROM bs WHERE item_id IN (SELECT item_id FROM dp)),
- nd AS (SELECT s.seed, least((SELECT count(*) FROM dp), 600) - count(kp.item_id) AS need FROM (SELECT DISTINCT seed FROM bs) s LEFT JOIN kp USING (seed) GROUP BY s.seed),
+PAIRED = (DEDUP + ", " + sample_sql("bs", "dsplit", "'id_random'", ["42", "1"], P.CAP, "NOT in_R") + f""", kp AS (SELECT seed, item_id FROM bs WHERE item_id IN (SELECT item_id FROM dp)),
+ nd AS (SELECT s.seed, least((SELECT count(*) FROM dp), {P.CAP}) - count(kp.item_id) AS need FROM (SELECT DISTINCT seed FROM bs) s LEFT JOIN kp USING (seed) GROUP BY s.seed),
  fl AS (SELECT seed, item_id FROM (SELECT nd.seed, need, dp.item_id, row_number() OVER (PARTITION BY nd.seed ORDER BY {H("'id_random_dedup|fill'", 'nd.seed', 'dp.item_id')}, dp.item_num) AS rn FROM dp CROSS JOIN nd WHERE NOT EXISTS (SELECT 1 FROM bs WHERE bs.seed = nd.seed AND bs.item_id = dp.item_id)) WHERE rn <= need)
  SELECT 'id_random_dedup' AS run_key, seed, item_id FROM (SELECT * FROM kp UNION ALL SELECT * FROM fl)""")
 
 
 @query("P11_paired_samples", PAIRED)
 def _(fx):
-    base = written(P.sample_pool(fx.dsplit.filter("NOT in_R"), "id_random", ["42", "1"], 600), "base")
+    base = written(P.sample_pool(fx.dsplit.filter("NOT in_R"), "id_random", ["42", "1"]), "base")
     pool = written(P.dedup_pool(fx.dsplit), "pool")
-    return P.sample_paired(base, pool, "id_random_dedup", 600).select("run_key", "seed", "item_id")
+    return P.sample_paired(base, pool, "id_random_dedup").select("run_key", "seed", "item_id")
 
 
 @query("P12_full_pool_plan", ESPLIT + """, t AS (SELECT count(*) AS a, count(*) FILTER (NOT in_R) AS f FROM splits) SELECT 'id_random_full' AS run_key, f AS pool_n, f AS n_train FROM t UNION ALL SELECT 'loeo_full:'||event, a-n, f FROM pools, t""")
@@ -244,8 +269,8 @@ def _(fx):
     return V.complete_seeds(part_runs(fx), fx.cube)
 
 
-@query("V10_alignment", "WITH " + RUNS_SQL + """, a AS (SELECT * FROM runs WHERE run='id_random'), b AS (SELECT * FROM runs WHERE run='loeo' AND in_R) SELECT model, seed, event, count(*) AS n_items, count(*) FILTER (ya IS NULL OR yb IS NULL) AS unpaired, CAST(0 AS BIGINT) AS outside, count(*) FILTER (ya<>yb) AS label_conflicts
- FROM (SELECT coalesce(a.model,b.model) AS model, coalesce(a.seed,b.seed) AS seed, coalesce(a.event,b.event) AS event, a.y_true AS ya, b.y_true AS yb FROM a FULL JOIN b ON a.model=b.model AND a.seed=b.seed AND a.item_id=b.item_id) GROUP BY ALL""")
+@query("V10_alignment", "WITH " + RUNS_SQL + """, a AS (SELECT * FROM runs WHERE run='id_random'), b AS (SELECT * FROM runs WHERE run='loeo' AND in_R) SELECT model, seed, event, count(*) AS n_items, count(*) FILTER (ya IS NULL OR yb IS NULL) AS unpaired, count(*) FILTER (NOT coalesce(listed, FALSE)) AS outside, count(*) FILTER (ya<>yb) AS label_conflicts
+ FROM (SELECT coalesce(a.model,b.model) AS model, coalesce(a.seed,b.seed) AS seed, coalesce(a.event,b.event) AS event, a.y_true AS ya, b.y_true AS yb, s.in_R AS listed FROM a FULL JOIN b ON a.model=b.model AND a.seed=b.seed AND a.item_id=b.item_id LEFT JOIN splits s ON s.item_id=coalesce(a.item_id, b.item_id)) GROUP BY ALL""")
 def _(fx):
     a, b = fx.runs.filter("run = 'id_random'"), fx.runs.filter("run = 'loeo' AND in_R")
     return V.assert_aligned(a, b, fx.splits.filter("in_R").select("item_id"), ["model", "seed", "event"])
@@ -265,16 +290,23 @@ def _(fx):
     return P.verify_training_ids(samples, recorded)
 
 
-@query("V13_cross_source", "WITH " + META + " SELECT count(*) AS rows_a, count(*) AS rows_b, TRUE AS same_ids, TRUE AS same_events FROM meta")
+@query("V13_cross_source", "WITH " + META + f""", o AS (SELECT CASE WHEN {H("'lost'", 'item_id')} % 211 = 0 THEN item_id || 'b' ELSE item_id END AS item_id, CASE WHEN {H("'moved'", 'item_id')} % 101 = 0 THEN 'NATION_0' ELSE event END AS event FROM meta),
+ j AS (SELECT m.event AS ea, o.event AS eb FROM meta m FULL JOIN o ON m.item_id=o.item_id) SELECT count(ea) AS rows_a, count(eb) AS rows_b, bool_and(ea IS NOT NULL AND eb IS NOT NULL) AS same_ids, bool_and(ea IS NOT DISTINCT FROM eb) AS same_events FROM j
+ UNION ALL SELECT count(*), count(*), bool_and(m.event IS NOT NULL), bool_and(m.event IS NOT DISTINCT FROM n_name) FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey LEFT JOIN meta m ON m.item_num=o_orderkey""")
 def _(fx):
+    """Against a second source with some other ids and events, and against the tables themselves."""
+    key = F.col("item_id")
+    odd = fx.meta.select(F.when(hash32("lost", key) % 211 == 0, F.concat("item_id", F.lit("b"))).otherwise(key).alias("item_id"), F.when(hash32("moved", key) % 101 == 0, "NATION_0").otherwise(F.col("event")).alias("event"))
     other = fx.table("orders").join(fx.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(fx.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    other = other.select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("n_name").alias("event")).join(fx.meta.select("item_id"), "item_id", "left_semi")
-    return V.cross_source_check(fx.meta, other)
+    other = other.select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("n_name").alias("event"))
+    return V.cross_source_check(fx.meta, odd).unionByName(V.cross_source_check(fx.meta, other))
 
 
-@query("V14_text_free_release", "WITH " + META + " SELECT event, count(*) AS n FROM meta GROUP BY event")
+@query("V14_text_free_release", "WITH " + CUBE + ", " + split_sql("meta") + " SELECT 'metadata' AS released, count(*) AS n FROM meta UNION ALL SELECT 'predictions', count(*) FROM pred UNION ALL SELECT 'counts', count(*) FROM cube UNION ALL SELECT 'splits', count(*) FROM splits")
 def _(fx):
-    return V.assert_no_text(fx.meta).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    released = {"metadata": fx.meta, "predictions": fx.pred, "counts": fx.cube, "splits": SP.split_items(fx.meta)}
+    parts = [V.assert_no_text(df).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("released"), "n") for name, df in released.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # ---------------------------------------------------------------- N: text
@@ -371,14 +403,13 @@ def _(fx):
     return N.shared_with(fx.docs.filter("hazard <> 'en'"), fx.docs.filter("hazard = 'en'"))
 
 
-@query("N12_corpus_facts", "WITH " + EMETA + ", " + split_sql("emeta") + f""", s AS (SELECT *, label || CAST(item_num % 50 AS VARCHAR) AS text_norm FROM splits), c AS (SELECT event, label, count(*) AS n, count(*) FILTER (in_R) AS r FROM s GROUP BY ALL), k AS (SELECT count(DISTINCT label) AS k FROM s),
+@query("N12_corpus_facts", "WITH " + DSPLIT + f""", s AS (SELECT *, hazard AS label FROM dsplit), c AS (SELECT event, label, count(*) AS n, count(*) FILTER (in_R) AS r FROM s GROUP BY ALL), k AS (SELECT count(DISTINCT label) AS k FROM s),
  e AS (SELECT event, count(*) AS p, sum(r) AS r FROM c GROUP BY event)
  SELECT max(k) AS n_classes, count(*) AS n_events, min(p) AS classes_per_event_min, max(p) AS classes_per_event_max, count(*) FILTER (p<k) AS events_lacking_a_class, {S.r('avg(k-p)', 'mean_absent_classes')}, CAST(floor(median(r)) AS BIGINT) AS R_size_median,
   (SELECT count(*) FROM c WHERE r>0) AS R_cells_present, {S.r('(SELECT avg((r<5)::INT) FROM c WHERE r>0)', 'R_cells_lt5_share')}, (SELECT CAST(min(r) AS BIGINT) FROM (SELECT label, sum(r) AS r FROM c WHERE r>0 GROUP BY label)) AS pooled_R_min_class,
   (SELECT CAST(sum(n-1) AS BIGINT) FROM (SELECT event, text_norm, count(*) AS n FROM s GROUP BY ALL)) AS within_event_duplicate_rows FROM e, k""")
 def _(fx):
-    x = fx.splits.withColumn("text_norm", F.concat("label", (F.col("item_num") % 50).cast("string")))
-    return rounded(N.corpus_facts(x))
+    return rounded(N.corpus_facts(fx.dsplit.withColumn("label", F.col("hazard"))))
 
 
 @query("N13_masked_tokens", r"WITH m AS (SELECT text, regexp_replace(regexp_replace(text, '#[\p{L}\p{N}_]+', '[HASHTAG]', 'g'), '(^|[^\p{L}\p{N}_\[])(\p{Nd}[\p{Nd},.:]*)', '\1[NUM]', 'g') AS k FROM documents) SELECT count(*) AS n, " + S.r("avg((k<>text)::INT)", "share_changed") + ", CAST(sum(len(k)) AS BIGINT) AS masked_chars FROM m")
@@ -400,7 +431,7 @@ def doc_pred(fx, run, acc):
     return x.select("seed", "item_id", "event", F.col("hazard").alias("y_true"), F.when(hash32(*key) % 100 < acc, F.col("hazard")).otherwise(alt).alias("y_pred"))
 
 
-N14 = ("WITH " + DSPLIT + ", " + GRAMS.rsplit("sim AS MATERIALIZED", 1)[0] + sample_sql("sp", "dsplit", "'id_random'", ["42", "1"], 300, "NOT in_R")
+N14 = ("WITH " + DSPLIT + ", " + GRAMS.rsplit("sim AS MATERIALIZED", 1)[0] + sample_sql("sp", "dsplit", "'id_random'", ["42", "1"], P.CAP, "NOT in_R")
        + f""", sim AS MATERIALIZED (SELECT a.item_num AS t, b.item_num AS p, sum(a.w*b.w) AS s FROM wt a JOIN wt b ON a.g=b.g AND a.in_R AND NOT b.in_R GROUP BY ALL),
  bs AS (SELECT sp.seed, t AS item_num, max(s) AS s FROM sim JOIN sp ON sp.item_num=sim.p GROUP BY ALL), lc AS (SELECT hazard AS cls, row_number() OVER (ORDER BY hazard)-1 AS ci FROM (SELECT DISTINCT hazard FROM docs)),
  pa AS ({doc_pred_sql('id_random', 75)}), pb AS ({doc_pred_sql('loeo', 60)}),
@@ -413,7 +444,7 @@ N14 = ("WITH " + DSPLIT + ", " + GRAMS.rsplit("sim AS MATERIALIZED", 1)[0] + sam
 
 @query("N14_similarity_strata", N14)
 def _(fx):
-    samples = P.sample_pool(fx.dsplit.filter("NOT in_R"), "id_random", ["42", "1"], 300)
+    samples = P.sample_pool(fx.dsplit.filter("NOT in_R"), "id_random", ["42", "1"])
     sims = SIM.sample_similarity(fx.dsplit, written(samples, "samples"), 0.5)
     return rounded(SIM.similarity_strata(sims, doc_pred(fx, "id_random", 75), doc_pred(fx, "loeo", 60)))
 
@@ -445,19 +476,35 @@ def all_docs_pred(fx):
     return doc_pred(View, "loeo", 60)
 
 
+SYSTEM_RUNS = "system, seed"
+
+
 def gap_without(drop, flag_sql):
-    sql = ("WITH " + DOCS + LANGS + f", dr AS ({flag_sql}), p0 AS MATERIALIZED ({all_docs_pred_sql()}), p1 AS (SELECT 'docs' AS system, p0.* FROM p0 WHERE item_id NOT IN (SELECT item_id FROM dr)), pz AS (SELECT 'docs' AS system, p0.* FROM p0), "
-           + cube_sql("c1", "p1", "lc", "system, seed") + ", " + cube_sql("c0", "pz", "lc", "system, seed") + ", " + S.level_scores("s1", "c1", "system, seed") + ", " + S.level_scores("s0", "c0", "system, seed")
-           + f" SELECT {S.r('avg(s1.A_P)', 'A_P')}, {S.r('avg(s0.A_P)', 'A_P_all')}, (SELECT count(*) FROM dr) AS dropped FROM s1 JOIN s0 USING (system, seed)")
+    """A_P with and without the flagged rows, with percentile intervals over crossed draws of the events left."""
+    def side(k, rows):
+        return (f"p{k} AS (SELECT 'docs' AS system, p0.* FROM p0{rows}), " + cube_sql(f"c{k}", f"p{k}", "lc", SYSTEM_RUNS) + ", " + S.level_scores(f"s{k}", f"c{k}", SYSTEM_RUNS) + ", " + S.features(f"f{k}", f"c{k}", SYSTEM_RUNS) + ", "
+                + f"e{k} AS (SELECT event, row_number() OVER (ORDER BY event)-1 AS pos, count(*) OVER () AS sz FROM (SELECT DISTINCT event FROM c{k})), d{k} AS MATERIALIZED (SELECT b, e.event, count(*) AS m FROM (SELECT b, {H("'ev'", 'CAST(b AS VARCHAR)', 'CAST(s.pos AS VARCHAR)')} % s.sz AS pos FROM range({B}) r(b) CROSS JOIN e{k} s) d JOIN e{k} e USING (pos) GROUP BY ALL), "
+                + S.sums(f"w{k}", f"f{k}", f"b, {SYSTEM_RUNS}", "m", f"JOIN d{k} USING (event)") + ", " + S.scores(f"y{k}", f"w{k}", f"b, {SYSTEM_RUNS}") + f", z{k} AS (SELECT b, sum(A_P*ms)/max(n_seeds) AS A_P FROM y{k} JOIN sd USING (b, system, seed) GROUP BY b)")
+    seeds = f"""ss AS (SELECT system, seed, row_number() OVER (ORDER BY seed)-1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT 'docs' AS system, seed FROM p0)),
+ sd AS MATERIALIZED (SELECT b, s.system, s.seed, count(*) AS ms, max(s.size) AS n_seeds FROM (SELECT b, u.system, {H("'sd'", 'u.system', 'CAST(b AS VARCHAR)', 'CAST(u.pos AS VARCHAR)')} % u.size AS pos FROM range({B}) r(b) CROSS JOIN ss u) d JOIN ss s USING (system, pos) GROUP BY ALL)"""
+    sql = ("WITH " + DOCS + LANGS + f", dr AS ({flag_sql}), p0 AS MATERIALIZED ({all_docs_pred_sql()}), {seeds}, " + side(1, " WHERE item_id NOT IN (SELECT item_id FROM dr)") + ", " + side(2, "")
+           + f" SELECT {S.r('(SELECT avg(A_P) FROM s1)', 'A_P')}, {S.r('(SELECT avg(A_P) FROM s2)', 'A_P_all')}, (SELECT count(*) FROM dr) AS dropped, "
+           + ", ".join(S.r(f"(SELECT quantile_cont(A_P, {q}) FROM z{k})", n) for k, q, n in ((1, 0.025, "A_P_lo95"), (1, 0.975, "A_P_hi95"), (2, 0.025, "A_P_all_lo95"), (2, 0.975, "A_P_all_hi95"))))
 
     def fn(fx):
         flagged = written(drop(fx.docs).select("item_id"), "flagged")
-        pred = all_docs_pred(fx).withColumn("system", F.lit("docs"))
+        pred = written(all_docs_pred(fx).withColumn("system", F.lit("docs")), "docs-pred")
         langs = C.class_list(fx.docs.select(F.col("hazard").alias("label")))
-        a = C.score_cube(C.confusion_cube(pred.join(flagged, "item_id", "left_anti"), langs)).groupBy("system").agg(F.avg("A_P").alias("A_P"))
-        b = C.score_cube(C.confusion_cube(pred, langs)).groupBy("system").agg(F.avg("A_P").alias("A_P_all"))
+        seeds = R.seed_draws(fx.spark, pred.select("system", "seed"), B)
+
+        def gap(rows, name):
+            cube = written(C.confusion_cube(rows, langs), "cube")
+            point = C.score_cube(cube).groupBy("system").agg(F.avg("A_P").alias(name))
+            drawn = R.bootstrap(C.cell_features(cube), R.event_draws(fx.spark, cube.select("event"), B), seeds, ["A_P"]).withColumnRenamed("A_P", name)
+            return point.join(R.percentiles(drawn, ["system"], [name]), "system")
         n = flagged.agg(F.count(F.lit(1)).alias("n"))
-        return rounded(a.join(b, "system").withColumn("dropped", n.scalar()).drop("system"))
+        both = gap(pred.join(flagged, "item_id", "left_anti"), "A_P").join(gap(pred, "A_P_all"), "system")
+        return rounded(both.withColumn("dropped", n.scalar()).drop("system"))
     return sql, fn
 
 
@@ -469,21 +516,21 @@ for _name, _drop, _flag in (("FL6_gap_without_cross_event_duplicates", FL.cross_
 MHELD = "(SELECT x.*, e.event AS held_out FROM meta x JOIN (SELECT DISTINCT event FROM meta) e ON e.event <> x.event)"
 
 
-@query("FL5_zero_cells", WITH + ", " + sample_sql("hs", MHELD, "'loeo:' || held_out", ["42", "1", "2", "0"], 1000, extra=", held_out, label") + f""", tr AS (SELECT q.system, hs.held_out AS event, hs.label AS cls, hs.seed, count(*) AS n FROM hs JOIN (SELECT DISTINCT system, seed FROM cube) q USING (seed) GROUP BY ALL), ta AS (SELECT system, event, cls, avg(n) AS tn FROM tr GROUP BY ALL),
- c AS (SELECT system, event, cls, max(tp+fn) AS support, avg({S.f1()}) AS f1 FROM cube WHERE tp+fn>0 GROUP BY ALL), z AS (SELECT * FROM c WHERE support>=50 AND f1<0.55),
+@query("FL5_zero_cells", WITH + ", " + sample_sql("hs", MHELD, "'loeo:' || held_out", ["42", "1", "2", "0"], P.CAP, extra=", held_out, label") + f""", tr AS (SELECT q.system, hs.held_out AS event, hs.label AS cls, hs.seed, count(*) AS n FROM hs JOIN (SELECT DISTINCT system, seed FROM cube) q USING (seed) GROUP BY ALL), ta AS (SELECT system, event, cls, avg(n) AS tn FROM tr GROUP BY ALL),
+ c AS (SELECT system, event, cls, max(tp+fn) AS support, avg({S.f1()}) AS f1 FROM cube WHERE tp+fn>0 GROUP BY ALL), z AS (SELECT * FROM c WHERE support>=50 AND f1<0.05),
  vt AS (SELECT system, event, y_true AS cls, y_pred, count(*) AS v FROM pred GROUP BY ALL), tp_ AS (SELECT system, event, cls, arg_max(y_pred, (v, y_pred)) AS top, max(v)/sum(v) AS sh FROM vt GROUP BY ALL)
  SELECT z.system, z.event, z.cls, support, {S.r('f1', 'f1')}, top AS top_prediction, {S.r('sh', 'top_prediction_share')}, {S.r('coalesce(tn, 0)', 'train_sample_n_mean')}, (SELECT count(*) FROM meta WHERE label=z.cls AND event<>z.event) AS train_events_n FROM z JOIN tp_ USING (system, event, cls) LEFT JOIN ta USING (system, event, cls)""")
 def _(fx):
-    s = P.sample_heldout(fx.meta, ["42", "1", "2", "0"], 1000, carry=("label",)).groupBy("held_out", "seed", "label").agg(F.count(F.lit(1)).alias("n"))
+    s = P.sample_heldout(fx.meta, ["42", "1", "2", "0"], carry=("label",)).groupBy("held_out", "seed", "label").agg(F.count(F.lit(1)).alias("n"))
     runs = fx.cube.select("system", "seed").distinct()
     per = s.join(runs, "seed").select("system", "seed", F.col("held_out").alias("event"), "label", "n")
-    return rounded(FL.zero_cells(fx.cube, fx.pairs, per, FL.cell_sizes(fx.meta), 50, 0.55))
+    return rounded(FL.zero_cells(fx.cube, fx.pairs, per, FL.cell_sizes(fx.meta), 50, 0.05))
 
 
-@query("K9_dose_against_e2", ARM_SC + ", " + sample_sql("sp", "splits", "'id_random'", ["42", "1", "2"], 3000, "NOT in_R") + """, dz AS (SELECT event, count(*)/3.0 AS dose FROM sp GROUP BY event), xm AS (SELECT a.model, a.event, avg(a.f1_P-b.f1_P) AS x FROM asc__ev a JOIN asc__ev b USING (model, seed, event) WHERE a.arm='a' AND b.arm='b' GROUP BY ALL), dj AS (SELECT model, dose, x FROM xm JOIN dz USING (event)), """
+@query("K9_dose_against_e2", ARM_SC + ", " + sample_sql("sp", "splits", "'id_random'", ["42", "1", "2"], P.CAP, "NOT in_R") + """, dz AS (SELECT event, count(*)/3.0 AS dose FROM sp GROUP BY event), xm AS (SELECT a.model, a.event, avg(a.f1_P-b.f1_P) AS x FROM asc__ev a JOIN asc__ev b USING (model, seed, event) WHERE a.arm='a' AND b.arm='b' GROUP BY ALL), dj AS (SELECT model, dose, x FROM xm JOIN dz USING (event)), """
        + spearman_sql("r", "dj", "model", "dose", "x") + f" SELECT model, n, {S.r('rho', 'rho')}, {S.r(p_sql(), 'p')} FROM r")
 def _(fx):
-    s = P.sample_pool(fx.splits.filter("NOT in_R"), "id_random", ["42", "1", "2"], 3000)
+    s = P.sample_pool(fx.splits.filter("NOT in_R"), "id_random", ["42", "1", "2"])
     dose = s.groupBy("event").agg((F.count(F.lit(1)) / 3.0).alias("dose"))
     j = I.event_means(contrib(fx), ["model"]).join(dose, "event")
     return rounded(I.with_spearman_p(I.spearman(j, ["model"], "dose", "x")))
@@ -535,7 +582,7 @@ def run_records(fx):
     counts = P.train_event_counts(s).groupBy("run_key", "seed").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event", "n")))).alias("train_event_counts"))
     fp = P.sample_fingerprint(s)
     plan = F.when(hash32(F.col("run_key")) % 2 == 0, "tfidf").otherwise("confirm")
-    return fp.join(counts, ["run_key", "seed"]).select("run_key", plan.alias("plan"), F.lit("events").alias("corpus"), F.lit("m").alias("model"), "seed", F.struct(F.lit(300).cast("bigint").alias("cap"), F.lit(0.2).alias("frac")).alias("settings"),
+    return fp.join(counts, ["run_key", "seed"]).select("run_key", plan.alias("plan"), F.lit("events").alias("corpus"), F.lit("m").alias("model"), "seed", F.struct(F.lit(P.CAP).cast("bigint").alias("cap"), F.lit(0.2).alias("frac")).alias("settings"),
                                                        "n_train", "train_ids_sha256", "train_event_counts", (hash32(F.col("run_key"), F.col("seed")) % 1000 / 10.0).alias("elapsed_sec"))
 
 
@@ -545,7 +592,7 @@ def stored_runs(fx):
     return IO.read_runs(fx.spark, path)
 
 
-@query("S5_read_run_records", HELDOUT + " SELECT run_key, seed, CAST(300 AS BIGINT) AS cap, event, count(*) AS n FROM hs GROUP BY ALL")
+@query("S5_read_run_records", HELDOUT + f" SELECT run_key, seed, CAST({P.CAP} AS BIGINT) AS cap, event, count(*) AS n FROM hs GROUP BY ALL")
 def _(fx):
     return stored_runs(fx).select("run_key", "seed", F.col("settings.cap").alias("cap"), F.explode("train_event_counts").alias("event", "n"))
 
@@ -589,10 +636,9 @@ def _(fx):
 @query("S9_read_raw_json", "WITH " + RAW + " SELECT event, split, trim(label) AS label, count(*) AS n, CAST(sum(len(text_raw)) AS BIGINT) AS chars FROM raw GROUP BY ALL")
 def _(fx):
     path = scratch_path(fx.spark, "rawjson")
-    x = fx.raw.select("event", "split", F.struct("item_id", "text_raw", "label").alias("m"), (hash32(F.col("item_id")) % 64).alias("g"))
-    arrays = x.groupBy("event", "split", "g").agg(F.to_json(F.collect_list("m")).alias("value"))  # blocks of one file's messages
-    arrays.select(F.col("event").alias("event_dir"), F.col("split").alias("split_dir"), "value").write.partitionBy("event_dir", "split_dir").option("lineSep", "\n").text(path)
-    return raw_summary(IO.read_raw_json(fx.spark, path + "/*/*", multi_line=False), "event", "split", "label")
+    x = fx.raw.select(F.col("event").alias("event_dir"), F.col("split").alias("split_dir"), "source_order", "item_id", "text_raw", "label")
+    IO.write_json_arrays(x, ["event_dir", "split_dir"], "source_order", path)
+    return raw_summary(IO.read_raw_json(fx.spark, path + "/*/*"), "event", "split", "label")
 
 
 INDEX_SQL = PART_COMPLETE + ", ix AS (SELECT system, 'orders' AS corpus, string_agg(seed, ',' ORDER BY CAST(seed AS BIGINT)) AS seeds, 'runs/orders/' || system || '/seed{seed}/*' AS preds, 'meta.tsv' AS meta FROM cs WHERE complete GROUP BY system)"
@@ -643,12 +689,29 @@ def _(fx):
     return C.score_cube(fx.cube).select("system", "seed", IO.config_hash(text).alias("config_hash"))
 
 
-INVENTORY = (("predictions", r"/seed[^/]+/[^/]+/[^/]*\.csv\.gz$"), ("markers", r"/_SUCCESS$"))
+def event_files(fx):
+    """One file per event with its item ids, a line each, in the order of their numbers."""
+    path = scratch_path(fx.spark, "event-ids")
+    rows = fx.meta.select("event", "item_num", F.col("item_id").alias("value"))
+    rows.repartition("event").sortWithinPartitions("event", "item_num").select("event", "value").write.partitionBy("event").text(path)
+    return path
+
+
+EVENT_FILES = "WITH " + META + ", f AS (SELECT event, string_agg(item_id || chr(10), '' ORDER BY item_num) AS body FROM meta GROUP BY event)"
+
+
+@query("S14_event_file_hashes", EVENT_FILES + " SELECT event, CAST(len(body) AS BIGINT) AS length, sha256(body) AS sha256 FROM f")
+def _(fx):
+    h = IO.file_sha256(fx.spark, [event_files(fx) + "/*/*.txt"])
+    return h.select(F.regexp_extract("path", "/event=([^/]+)/", 1).alias("event"), "length", "sha256")
+
+
+INVENTORY = (("odd_events", r"/event=[^/]*[13579]/[^/]*\.txt$"), ("even_events", r"/event=[^/]*/[^/]*\.txt$"))
 
 
-@query("S15_artifact_inventory")
+@query("S15_artifact_inventory", EVENT_FILES + " SELECT CASE WHEN regexp_matches(event, '[13579]$') THEN 'odd_events' ELSE 'even_events' END AS artifact_group, count(*) AS files, CAST(sum(len(body)) AS BIGINT) AS bytes FROM f GROUP BY ALL")
 def _(fx):
-    return IO.artifact_inventory(IO.list_files(fx.spark, [fx.run_tree]), INVENTORY)
+    return IO.artifact_inventory(IO.list_files(fx.spark, [event_files(fx)]), INVENTORY)
 
 
 @query("S16_run_totals", HELDOUT + f", r AS (SELECT DISTINCT run_key, seed FROM hs) SELECT count(*) AS n_runs, {S.r('sum(' + H('run_key', 'seed') + ' % 1000 / 10.0)/3600', 'hours')}, count(*) FILTER ({H('run_key')} % 2 = 0) AS n_tfidf_runs FROM r")
@@ -660,21 +723,21 @@ def _(fx):
 def _(fx):
     path = scratch_path(fx.spark, "ledger")
     fp = written(P.sample_fingerprint(heldout(fx)).select(F.concat("run_key", F.lit("-s"), "seed").alias("run_id"), "seed", F.col("train_ids_sha256").alias("sha256"), F.lit("train_ids").alias("path")), "fp")
-    for seed in ("42", "1"):
+    for seed in ("42", "1", "42"):  # the first job is repeated
         part = fp.filter(F.col("seed") == seed)
-        IO.append_ledger(part, part, path)
+        IO.append_ledger(part, part, path, "seed" + seed)
     return IO.read_ledger(fx.spark, path).select("run_id", "status", "exit_code", F.explode("output_artifacts").alias("a")).select("run_id", "status", "exit_code", "a.sha256")
 
 
 # ---------------------------------------------------------------- M: models
-TERMS_SQL = r"""tk AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM dmeta), to_ AS MATERIALIZED (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM tk), tm AS (SELECT item_id, word AS term FROM to_ UNION ALL SELECT * FROM (SELECT item_id, word || ' ' || lead(word) OVER (PARTITION BY item_id ORDER BY pos) AS term FROM to_) WHERE term IS NOT NULL),
+TERMS_SQL = r"""tk AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM docs), to_ AS MATERIALIZED (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM tk), tm AS (SELECT item_id, word AS term FROM to_ UNION ALL SELECT * FROM (SELECT item_id, word || ' ' || lead(word) OVER (PARTITION BY item_id ORDER BY pos) AS term FROM to_) WHERE term IS NOT NULL),
  tf AS MATERIALIZED (SELECT item_id, term, count(*) AS tf FROM tm GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*)>=2),
- tx AS (SELECT item_id, term, (1+ln(tf))*(ln((1+(SELECT count(*) FROM dmeta))/(1.0::DOUBLE+df))+1) AS x FROM tf JOIN df USING (term)), tw AS (SELECT item_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY item_id)) AS w FROM tx)"""
+ tx AS (SELECT item_id, term, (1+ln(tf))*(ln((1+(SELECT count(*) FROM docs))/(1.0::DOUBLE+df))+1) AS x FROM tf JOIN df USING (term)), tw AS (SELECT item_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY item_id)) AS w FROM tx)"""
 
 
-@query("M1_tfidf_weights", "WITH " + DMETA + ", " + TERMS_SQL + f" SELECT item_id, count(*) AS n_terms, round(sum(w), 6) AS sum_w, {S.r('max(w)', 'max_w')}, {S.r('sum(w*w)', 'norm2')} FROM tw GROUP BY item_id")
+@query("M1_tfidf_weights", "WITH " + DOCS + ", " + TERMS_SQL + f" SELECT item_id, count(*) AS n_terms, round(sum(w), 6) AS sum_w, {S.r('max(w)', 'max_w')}, {S.r('sum(w*w)', 'norm2')} FROM tw GROUP BY item_id")
 def _(fx):
-    w = M.tfidf_weights(fx.dmeta.select("item_id", "text"))
+    w = M.tfidf_weights(fx.docs.select("item_id", "text"))
     return rounded(w.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 6).alias("sum_w"), F.max("w").alias("max_w"), F.sum(F.col("w") * F.col("w")).alias("norm2")))
 
 
@@ -682,21 +745,29 @@ def fit_corpus(fx):
     return written(fx.docs.select("item_id", "item_num", "event", "text", F.col("hazard").alias("label")), "corpus")
 
 
-@query("M2_logistic_regression")
-def _(fx):
+SEEDS = ("42", "1")
+
+
+def heldout_predictions(fx, seeds):
+    """Predictions of every event by models fitted on capped samples of the others."""
     corpus = fit_corpus(fx)
-    labels = sorted(r[0] for r in corpus.select("label").distinct().collect())  # the class list
-    ids = P.sample_pool(corpus.filter("event <> 'src0'"), "loeo:src0", ["42"], 600).select("item_id")
-    return rounded(M.fit_predict(corpus.join(ids, "item_id", "left_semi"), corpus.filter("event = 'src0'"), labels).select("item_id", "event", "y_true", "y_pred"))
+    labels = C.class_list(corpus.select("label")).head()[0]
+    return FIT.heldout_fit_predict(corpus, written(P.sample_heldout(corpus, seeds), "samples"), labels)
 
 
-@query("M3_heldout_fit_predict")
+@query("M2_logistic_regression", "WITH " + DOCS + " SELECT item_id, event, hazard AS y_true, TRUE AS in_classes, CAST(1000000 AS BIGINT) AS sum_p_e6 FROM docs")
 def _(fx):
-    corpus = fit_corpus(fx)
-    labels = sorted(r[0] for r in corpus.select("label").distinct().collect())  # the class list
-    samples = written(P.sample_heldout(corpus, ["42"], 400), "samples")
-    pred = M.heldout_fit_predict(corpus, samples, [("src0", "42"), ("src1", "42")], labels)
-    return pred.select("run_key", "seed", "item_id", "event", "y_true", "y_pred")
+    x = heldout_predictions(fx, SEEDS[:1])
+    total = F.aggregate(F.map_values("p"), F.lit(0.0), lambda a, b: a + b)
+    return x.select("item_id", "event", "y_true", F.array_contains(F.map_keys("p"), F.col("y_pred")).alias("in_classes"), F.round(total * 1e6).cast("bigint").alias("sum_p_e6"))
+
+
+@query("M3_heldout_fit_predict", "WITH " + DOCS + f" SELECT 'loeo:' || event AS run_key, s.seed, event, hazard AS y_true, count(*) AS n, count(*) AS sum_p, TRUE AS beats_chance FROM docs CROSS JOIN (VALUES {', '.join(f'({s!r})' for s in SEEDS)}) s(seed) GROUP BY ALL")
+def _(fx):
+    x = written(heldout_predictions(fx, SEEDS), "predictions")
+    per = x.groupBy("run_key", "seed", "event", "y_true").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.aggregate(F.map_values("p"), F.lit(0.0), lambda a, b: a + b))).cast("bigint").alias("sum_p"))
+    right = x.agg((F.avg((F.col("y_true") == F.col("y_pred")).cast("double")) > 1.0 / F.first(F.size("p"))).alias("b"))  # over all runs
+    return per.withColumn("beats_chance", right.scalar())
 
 
 @query("M4_argmax_softmax", "WITH " + PROB + f", tp_ AS (SELECT system, seed, item_id, arg_min(cls, (-s, cls)) AS y_pred FROM sx GROUP BY ALL) SELECT system, seed, event, cls, count(*) FILTER (y_pred=cls) AS n_pred, CAST(sum(round(round_even(pr, 4) * 10000)) AS BIGINT) AS sum_p_e4 FROM pb JOIN tp_ USING (system, seed, item_id) GROUP BY ALL")
@@ -712,7 +783,7 @@ def _(fx):
 def _(fx):
     scored = M.score_arrays(fx.stored_pred.withColumn("classes", fx.classes.scalar()), F.col("classes"), scores_of("classes"), None)
     scored = scored.select("system", "seed", "event", "item_id", "y_true", "y_pred", "p")
-    m = M.prior_match(scored, C.RUN)
+    m = M.prior_match(scored, C.RUN, fx.classes.head()[0])
     return m.groupBy("system", "seed", "event").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("y_matched") == F.col("y_true"), 1)).alias("n_right_after"), F.count(F.when(F.col("y_pred") == F.col("y_true"), 1)).alias("n_right_before"))
 
 

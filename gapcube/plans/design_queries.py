@@ -541,12 +541,19 @@ def _(fx):
     return rounded(K.difficulty_shift(events_of(fx).filter("arm = 'c'"), hazards))
 
 
-@query("K8_difficulty_tau_p")
+# exact p: the share of orders with at most so many inversions, size by size; with ties the normal tail, summed over steps
+TAU_P = DIFF + """, v AS (SELECT model, round(d,12) AS x, round(p,12) AS y, event FROM dm), pr AS (SELECT a.model, sign(a.x-b.x) AS dx, sign(a.y-b.y) AS dy FROM v a JOIN v b ON a.model=b.model AND a.event<b.event),
+ s AS (SELECT model, sum(dx*dy) AS s, count(*) FILTER (dx*dy<0) AS disc FROM pr GROUP BY model), n AS (SELECT model, count(*) AS n, count(DISTINCT x) AS kx, count(DISTINCT y) AS ky FROM v GROUP BY model),
+ tx AS (SELECT model, count(*)::DOUBLE AS t FROM v GROUP BY model, x), ty AS (SELECT model, count(*)::DOUBLE AS t FROM v GROUP BY model, y),
+ sx AS (SELECT model, sum(t*(t-1)) AS a, sum(t*(t-1)*(t-2)) AS b, sum(t*(t-1)*(2*t+5)) AS c FROM tx GROUP BY model), sy AS (SELECT model, sum(t*(t-1)) AS a, sum(t*(t-1)*(t-2)) AS b, sum(t*(t-1)*(2*t+5)) AS c FROM ty GROUP BY model),
+ q AS (SELECT n.model, n.n, kx<n.n OR ky<n.n AS tied, least(disc, n.n*(n.n-1)//2-disc) AS low, abs(s)/sqrt((n.n*(n.n-1)*(2*n.n+5)-sx.c-sy.c)/18.0::DOUBLE + sx.a*sy.a/(2.0::DOUBLE*n.n*(n.n-1)) + sx.b*sy.b/(9.0::DOUBLE*n.n*(n.n-1)*(n.n-2))) AS z FROM n JOIN s USING (model) JOIN sx USING (model) JOIN sy USING (model)),
+ w AS (WITH RECURSIVE w(k, share) AS (SELECT 1, [1.0::DOUBLE] UNION ALL SELECT k+1, list_transform(range(0, k*(k+1)//2+1), lambda i: list_sum(list_transform(range(greatest(0, i-k), least(i, k*(k-1)//2)+1), lambda j: share[j+1]))/(k+1)) FROM w WHERE k < (SELECT max(n) FROM n)) SELECT * FROM w)
+ SELECT q.model, q.n AS n_events, tied, ROUNDED FROM q JOIN w ON w.k=q.n""".replace("ROUNDED", S.r("CASE WHEN tied THEN 1-2*list_sum(list_transform(range(0, 20000), lambda i: exp(-0.5::DOUBLE*pow((i+0.5)*z/20000, 2))*z/20000))/sqrt(2*pi()) ELSE least(1.0, 2*list_sum(share[1:low+1])) END", "p"))
+
+
+@query("K8_difficulty_tau_p", TAU_P)
 def _(fx):
-    from gapcube.functions.kernels import kendall_udf
-    hazards = fx.emeta.groupBy("event").agg(F.min("hazard").alias("hazard"))
-    d = K.difficulty_shift(events_of(fx).filter("arm = 'c'"), hazards)
-    return rounded(d.select("model", "tau", kendall_udf("n_events", "discordant").alias("p")))
+    return rounded(K.tau_p(events_of(fx).filter("arm = 'c'")))
 
 
 RARE = ARM_SC + ", " + S.features("rft", "(SELECT * FROM arms WHERE arm='a')", "model, seed, arm") + ", " + S.sums("rcs", "rft", "model, seed, arm") + ", " + S.scores("rsc", "rcs", "model, seed, arm") + f""",

@@ -18,8 +18,7 @@ MODELS = [("mA", "42", 0), ("mA", "1", 0), ("mA", "2", 0), ("mB", "42", 4), ("mB
 RUNS = [("id_random", 75, "R"), ("id_random_dedup", 74, "R"), ("id_random_fuzzydedup", 73, "R"), ("id_random_mask", 70, "R"),
         ("id_random_full", 77, "R"), ("id_temporal", 72, "T"), ("id_temporal_dedup", 71, "T"), ("loeo", 65, "A"),
         ("loeo_mask", 60, "A"), ("loeo_full", 67, "A"), ("chrono", 60, "E"), ("loeok", 61, "E"), ("loeon", 63, "S")]
-CHRONO_MIN, CAP = 1000, 3000
-FACTS = ("orders", "events", "documents")
+CHRONO_MIN, CAP = 3000, 6000
 MERGED = {"2-HIGH": "1-URGENT"}
 
 _CACHE: dict[tuple, "Fixture"] = {}
@@ -50,21 +49,20 @@ class Fixture:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A driver table; a fact table stored in fewer splits than there are cores is spread before the heavy work."""
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if name in FACTS and df.rdd.getNumPartitions() < cores else df
+        """A driver table."""
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    # --- main corpus: orders of customers, nation = event, order priority = class
+    # --- main corpus: orders of customers, nation = event, order priority = class; some cells thin or empty
     @cached_property
     def meta(self) -> DataFrame:
         o, c, n, r = (self.table(t) for t in ("orders", "customer", "nation", "region"))
         key = F.col("o_orderkey").cast("string")
         j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
         keep = hash32("keep", key) % 16 < (F.col("n_nationkey") * 3 + F.substring("o_orderpriority", 1, 1).cast("int") * 5) % 17
-        return j.filter(keep).select(
+        j = j.withColumn("classes", self.classes.scalar())
+        return j.select(
             key.alias("item_id"), F.col("o_orderkey").alias("item_num"), F.col("n_name").alias("event"),
-            F.col("r_name").alias("hazard"), F.col("o_orderpriority").alias("label"), F.col("o_orderdate").alias("posted_at"))
+            F.col("r_name").alias("hazard"), thinned(keep, "o_orderpriority", F.col("n_nationkey")).alias("label"), F.col("o_orderdate").alias("posted_at"))
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -76,9 +74,11 @@ class Fixture:
         x = self.meta.withColumn("classes", self.classes.scalar()).select(
             "item_id", "event", "label", "classes", F.explode(runs).alias("s"))
         hit = hash32(F.col("s.system"), F.col("s.seed"), F.col("item_id")) % 100 < F.col("s.acc")
-        alt = F.element_at("classes", (hash32("alt", F.col("s.system"), F.col("s.seed"), F.col("item_id")) % 5 + 1).cast("int"))
+        alt = F.element_at("classes", (hash32("alt", F.col("s.system"), F.col("s.seed"), F.col("item_id")) % F.size("classes") + 1).cast("int"))
+        never = (F.col("s.system") == "sysZ") & (hash32("zero", F.col("event"), F.col("label")) % 4 == 0)  # cells that score zero
+        other = F.element_at("classes", (F.array_position("classes", F.col("label")) % F.size("classes") + 1).cast("int"))
         return x.select("s.system", "s.seed", "item_id", "event", F.col("label").alias("y_true"),
-                        F.when(hit, F.col("label")).otherwise(alt).alias("y_pred"))
+                        F.when(never, other).when(hit, F.col("label")).otherwise(alt).alias("y_pred"))
 
     @cached_property
     def stored_pred(self) -> DataFrame:
@@ -107,9 +107,10 @@ class Fixture:
 
     @cached_property
     def emeta(self) -> DataFrame:
-        """The time corpus with thinned event-class cells, some of them empty."""
+        """The time corpus with thinned event-class cells, some of them empty; rows of thinned cells get another label."""
         keep = hash32("keep", F.col("item_id")) % 16 < (F.col("dom") * 3 + F.ascii("label") * 5) % 17
-        return self.tmeta.filter(keep)
+        names = self.tmeta.columns
+        return self.tmeta.withColumn("classes", self.eclasses.scalar()).withColumn("label", thinned(keep, "label", F.col("dom"))).select(*names)
 
     @cached_property
     def eclasses(self) -> DataFrame:
@@ -133,9 +134,10 @@ class Fixture:
                           | ((r.scope == "S") & (F.col("chrono_pool_n") >= CHRONO_MIN) & (F.col("chrono_pool_n") < CAP)))
         x = x.select("item_id", "event", "label", "in_R", "in_T", "classes", F.explode(wanted).alias("s"))
         key = (F.col("s.run"), F.col("s.model"), F.col("s.seed"), F.col("item_id"))
-        alt = F.element_at("classes", (hash32("alt", *key) % 5 + 1).cast("int"))
-        return x.select("s.model", "s.seed", "s.run", "item_id", "event", "in_R", "in_T", F.col("label").alias("y_true"),
-                        F.when(hash32(*key) % 100 < F.col("s.acc"), F.col("label")).otherwise(alt).alias("y_pred"))
+        alt = F.element_at("classes", (hash32("alt", *key) % F.size("classes") + 1).cast("int"))
+        x = x.select("s.model", "s.seed", "s.run", "item_id", "event", "in_R", "in_T", F.col("label").alias("y_true"),
+                     F.when(hash32(*key) % 100 < F.col("s.acc"), F.col("label")).otherwise(alt).alias("y_pred"))
+        return written(x, "runs")
 
     @cached_property
     def arms(self) -> DataFrame:
@@ -206,6 +208,11 @@ class Fixture:
         return root
 
 
+def thinned(keep, label: str, event):
+    """The label of a kept row; others get the class that is the event's own by number, so no row is lost."""
+    return F.when(keep, F.col(label)).otherwise(F.element_at("classes", (event % F.size("classes") + 1).cast("int")))
+
+
 def scores_of(classes: str):
     """Class scores of an item: a hash per class, plus one for the predicted class."""
     return F.transform(F.col(classes), lambda c: (hash32("p", F.col("item_id"), c) % 1000 + F.when(c == F.col("y_pred"), 1000).otherwise(0)) / 1000.0)
@@ -216,20 +223,20 @@ def H(*parts: str) -> str:
     return "CAST(('0x' || substr(md5(" + " || '|' || ".join(parts) + "),1,8)) AS BIGINT)"
 
 
-META = f"""meta AS MATERIALIZED (
+META = f"""classes AS MATERIALIZED (SELECT label AS cls, row_number() OVER (ORDER BY label) - 1 AS ci, count(*) OVER () AS k FROM (SELECT DISTINCT o_orderpriority AS label FROM orders)),
+meta AS MATERIALIZED (
   SELECT CAST(o_orderkey AS VARCHAR) AS item_id, o_orderkey AS item_num, n_name AS event, r_name AS hazard,
-         o_orderpriority AS label, o_orderdate AS posted_at
+         CASE WHEN {H("'keep'", "CAST(o_orderkey AS VARCHAR)")} % 16 < (n_nationkey * 3 + CAST(substr(o_orderpriority,1,1) AS INT) * 5) % 17 THEN o_orderpriority ELSE own.cls END AS label, o_orderdate AS posted_at
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-       JOIN region ON n_regionkey = r_regionkey
-  WHERE {H("'keep'", "CAST(o_orderkey AS VARCHAR)")} % 16 < (n_nationkey * 3 + CAST(substr(o_orderpriority,1,1) AS INT) * 5) % 17),
-classes AS (SELECT label AS cls, row_number() OVER (ORDER BY label) - 1 AS ci FROM (SELECT DISTINCT o_orderpriority AS label FROM orders))"""
+       JOIN region ON n_regionkey = r_regionkey JOIN classes own ON own.ci = n_nationkey % own.k)"""
 
 PRED = META + f""",
 pred AS MATERIALIZED (
   SELECT s.system, s.seed, m.item_id, m.event, m.label AS y_true,
-         CASE WHEN {H('s.system', 's.seed', 'm.item_id')} % 100 < s.acc THEN m.label ELSE c.cls END AS y_pred
+         CASE WHEN s.system = 'sysZ' AND {H("'zero'", 'm.event', 'm.label')} % 4 = 0 THEN nx.cls WHEN {H('s.system', 's.seed', 'm.item_id')} % 100 < s.acc THEN m.label ELSE c.cls END AS y_pred
   FROM meta m CROSS JOIN (VALUES {rows_sql(SYSTEMS)}) AS s(system, seed, acc)
-  JOIN classes c ON c.ci = {H("'alt'", 's.system', 's.seed', 'm.item_id')} % 5)"""
+  JOIN classes c ON c.ci = {H("'alt'", 's.system', 's.seed', 'm.item_id')} % c.k
+  JOIN classes lb ON lb.cls = m.label JOIN classes nx ON nx.ci = (lb.ci + 1) % lb.k)"""
 
 
 def cube_sql(name: str, pred: str, classes: str, keys: str) -> str:
@@ -248,8 +255,8 @@ TMETA = """tmeta AS MATERIALIZED (
   SELECT CAST(event_id AS VARCHAR) AS item_id, event_id AS item_num, strftime(ts, '%Y-%m-%d') AS event,
          'hz' || CAST(day(ts) % 4 AS VARCHAR) AS hazard, event_type AS label, ts AS posted_at, day(ts) AS dom FROM events)"""
 EMETA = TMETA + f""",
-emeta AS MATERIALIZED (SELECT * FROM tmeta WHERE {H("'keep'", 'item_id')} % 16 < (dom * 3 + ascii(label) * 5) % 17),
-eclasses AS (SELECT label AS cls, row_number() OVER (ORDER BY label) - 1 AS ci FROM (SELECT DISTINCT label FROM tmeta))"""
+eclasses AS MATERIALIZED (SELECT label AS cls, row_number() OVER (ORDER BY label) - 1 AS ci, count(*) OVER () AS k FROM (SELECT DISTINCT label FROM tmeta)),
+emeta AS MATERIALIZED (SELECT t.* REPLACE (CASE WHEN {H("'keep'", 'item_id')} % 16 < (dom * 3 + ascii(label) * 5) % 17 THEN label ELSE own.cls END AS label) FROM tmeta t JOIN eclasses own ON own.ci = dom % own.k)"""
 
 
 def split_sql(meta: str, name: str = "splits") -> str:
@@ -304,4 +311,4 @@ runs AS MATERIALIZED (
     ON s.scope = 'A' OR (s.scope = 'R' AND x.in_R) OR (s.scope = 'T' AND x.in_T)
        OR (s.scope = 'E' AND p.chrono_pool_n >= {CHRONO_MIN})
        OR (s.scope = 'S' AND p.chrono_pool_n >= {CHRONO_MIN} AND p.chrono_pool_n < {CAP})
-  JOIN eclasses c ON c.ci = {H("'alt'", 's.run', 's.model', 's.seed', 'x.item_id')} % 5)"""
+  JOIN eclasses c ON c.ci = {H("'alt'", 's.run', 's.model', 's.seed', 'x.item_id')} % c.k)"""

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import json
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapcube.session import written
+
+# Fixed formats: names and order of the columns and fields of prediction files, metadata, run records and ledgers.
 REQUIRED = ("item_id", "event", "y_true", "y_pred")
 UNUSED_TOKEN = "\u0001"  # no cell holds this, so text such as NA or null stays text
 META_SCHEMA = "item_id STRING, event STRING, hazard STRING, label STRING"
@@ -28,34 +38,56 @@ def blank_strings(df: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """(path, length) of the files behind glob patterns, each once; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(patterns)).select("path", "length").distinct()
+    """(path, length) of the files behind glob patterns, each once, empty ones too; contents are not read. Names that
+    begin with `_` or `.` are not files of a table."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(patterns))
+    sized = found.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("uri"), "path", "length").distinct()
+    names = sorted({re.sub("^file:/+", "file:/", u) for u in found.inputFiles()})
+    named = spark.createDataFrame([(u,) for u in names], "uri string")  # scans leave empty files out
+    return named.join(sized, "uri", "left").select(F.coalesce("path", "uri").alias("path"), F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def headers_of(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """(path, header): the first line of every file, found by the tasks that read the file's first block."""
+    lines = spark.read.option("recursiveFileLookup", True).text(list(files)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    return lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
 
 
 def read_predictions(spark: SparkSession, patterns: Sequence[str], keep: Sequence[str] = REQUIRED, keep_path: bool = False, id_column: str = "item_id") -> DataFrame:
     """Prediction files with any column order; a file without a required column is an error; other columns are not read.
 
-    Files are grouped by header line, so each distinct layout is one scan. Gzip files are one task each; repartition
-    afterwards if few large ones dominate. `id_column` is the name of the item id in the files.
+    Tasks find the header lines; only the distinct ones reach the driver. All files are one scan of cells by position,
+    and a file's layout names them. Gzip files are one task each; repartition afterwards if few large ones dominate.
+    `id_column` is the name of the item id in the files. A probability column that a layout lacks is empty there. A
+    header is one line.
     """
-    paths = sorted(r.path for r in list_files(spark, patterns).collect())  # file names, as the scan itself lists them
-    layouts: dict[tuple, list[str]] = {}
-    for p in paths:
-        layouts.setdefault(tuple(tsv(spark).csv(p).columns), []).append(p)
-    out = None
-    for header, files in sorted(layouts.items()):
-        header = tuple("item_id" if c == id_column else c for c in header)
-        missing = [c for c in REQUIRED if c not in header]
-        if missing:
-            raise ValueError(f"{files[0]}: missing columns {missing}")
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        df = tsv(spark).schema(schema).csv(files)
-        wanted = [F.col(c) for c in header if c in keep or c.startswith("p_") and "p_" in keep] if keep else [F.col(c) for c in header]
-        part = blank_strings(df.select(*wanted, *([F.col("_metadata.file_path").alias("path")] if keep_path else [])))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    patterns = list(patterns)
+    if len(patterns) > 1:  # patterns may overlap, and each file counts once
+        patterns = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(patterns).inputFiles())
+    headers = written(headers_of(spark, patterns), "headers")
+    lines = [r[0] for r in headers.select("header").distinct().orderBy("header").collect()]  # the layouts
+    if not lines:
         raise ValueError(f"no prediction files match {list(patterns)}")
-    return out
+    layouts = [["item_id" if c == id_column else c for c in next(csv.reader([line], delimiter="\t", doublequote=True))] for line in lines]
+    for line, names in zip(lines, layouts):
+        missing = [c for c in REQUIRED if c not in names]
+        if missing:
+            raise ValueError(f"{headers.filter(F.col('header') == line).first()['path']}: missing columns {missing}")
+    cells = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max(map(len, layouts)))])
+    rows = tsv(spark).schema(cells).csv(patterns).select("*", F.col("_metadata.file_path").alias("path"))
+    wanted = [c for c in dict.fromkeys(c for names in layouts for c in names) if not keep or c in keep or c.startswith("p_") and "p_" in keep]
+    if len(layouts) > 1:
+        rows = rows.join(headers.select("path", (F.array_position(F.array(*map(F.lit, lines)), F.col("header")) - 1).alias("layout")), "path")
+
+    def cell(name: str) -> Column:
+        by_layout = [F.col(f"_c{names.index(name)}") if name in names else F.lit(None).cast("string") for names in layouts]
+        if len(layouts) == 1:
+            return by_layout[0]
+        found = F.when(F.col("layout") == 0, by_layout[0])
+        for i, c in enumerate(by_layout[1:], 1):
+            found = found.when(F.col("layout") == i, c)
+        return found
+    return blank_strings(rows.select(*[cell(c).alias(c) for c in wanted], *(["path"] if keep_path else [])))
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +98,7 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
 def fold_probabilities(df: DataFrame) -> DataFrame:
     """Columns p_<class> become one map."""
     names = [c for c in df.columns if c.startswith("p_")]
-    pairs = [x for c in names for x in (F.lit(c[2:]), F.col(c).cast("double"))]
+    pairs = [x for c in names for x in (F.lit(c[2:]), F.nullif(F.col(c), F.lit("")).cast("double"))]
     return df.select(*[c for c in df.columns if c not in names], F.create_map(*pairs).alias("p"))
 
 
@@ -128,11 +160,63 @@ def read_raw_csv(spark: SparkSession, path: str, descriptions: str) -> DataFrame
     return rows.withColumn("label", F.trim("label")).join(desc.select("event", hazard.alias("hazard")), "event", "left")
 
 
-def read_raw_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+WHERE_JSON = r"(?:event_dir=)?([^/=]+)/(?:split_dir=)?([^/=]+?)(?:\.json)?(?:/part-[^/]*)?$"
+MESSAGE = "item_id STRING, text_raw STRING, label STRING"
+
+
+def whole_messages(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, value) of the messages of arrays that come in pieces (path, piece), each cut after a closing brace."""
+    here, held, closed = None, "", True
+    for b in it:
+        paths, out = [], []
+        for path, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if path != here:
+                if not closed:
+                    raise ValueError(f"{here}: the array does not end")
+                here, held = path, ""
+            text = (held + piece).lstrip(" \t\r\n[,]")  # what stands between messages
+            closed = not text and "]" in piece
+            held = ""
+            if not text:
+                continue
+            try:
+                json.loads(text + "}")
+            except ValueError:  # the brace was inside a string or a nested value
+                held = text + "}"
+                continue
+            paths.append(path)
+            out.append(text + "}")
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.string())], names=["path", "value"])
+    if not closed:
+        raise ValueError(f"{here}: the array does not end")
+
+
+def read_json_arrays(spark: SparkSession, path: str, schema: str = MESSAGE) -> DataFrame:
+    """(path, fields) of files that hold one JSON array of objects each, of any length and line layout.
+
+    A file is read in pieces that end at a closing brace, so no cell is longer than what lies between two braces; the
+    pieces of a file meet in order in one task, which passes on one message at a time.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    ordered = pieces.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "value")
+    return ordered.mapInArrow(whole_messages, "path string, value string").select("path", F.from_json("value", schema).alias("m")).select("path", "m.*")
+
+
+def write_json_arrays(messages: DataFrame, by: Sequence[str], order: str, path: str) -> None:
+    """One file with one JSON array per combination of `by`, a line per message: brackets and commas are part of the
+    lines, so no cell holds more than a message. `messages` has `by`, `order` (unique in a file) and the fields."""
+    fields = [c for c in messages.columns if c not in (*by, order)]
+    first = messages.groupBy(*by).agg(F.min(order).alias("_first"))
+    lines = messages.join(first, list(by)).select(*by, F.lit(0).alias("_end"), F.col(order).alias("_at"), F.concat(F.when(F.col(order) == F.col("_first"), "[").otherwise(","), F.to_json(F.struct(*fields))).alias("value"))
+    lines = lines.unionByName(first.select(*by, F.lit(1).alias("_end"), F.col("_first").alias("_at"), F.lit("]").alias("value")))
+    lines.repartition(*by).sortWithinPartitions(*by, "_end", "_at").select(*by, "value").write.partitionBy(*by).text(path)
+
+
+def read_raw_json(spark: SparkSession, path: str, one_array: bool = True) -> DataFrame:
     """JSON arrays of messages below <event>/<split>: one array per file, or one per line (which splits)."""
-    raw = spark.read.option("multiLine", multi_line).schema("item_id STRING, text_raw STRING, label STRING").json(path)
-    where = r"(?:event_dir=)?([^/=]+)/(?:split_dir=)?([^/=]+?)(?:\.json)?(?:/part-[^/]*)?$"
-    named = raw.select("*", F.regexp_extract(F.col("_metadata.file_path"), where, 1).alias("event"), F.regexp_extract(F.col("_metadata.file_path"), where, 2).alias("split"))
+    raw = read_json_arrays(spark, path) if one_array else spark.read.schema(MESSAGE).json(path).select(F.col("_metadata.file_path").alias("path"), "*")
+    named = raw.select("item_id", "text_raw", "label", F.regexp_extract("path", WHERE_JSON, 1).alias("event"), F.regexp_extract("path", WHERE_JSON, 2).alias("split"))
     return blank_strings(named).withColumn("label", F.trim("label"))
 
 
@@ -175,9 +259,28 @@ def write_predictions(pred: DataFrame, classes: Sequence[str], path: str) -> Non
     pred.select(*REQUIRED, *probs).write.option("sep", "\t").option("header", True).option("compression", "gzip").option("emptyValue", "").option("escape", '"').csv(path)
 
 
+#: Bytes of a file that are read at a time for its hash.
+PIECE = 8 << 20
+
+
+def stream_hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        found = []
+        for path in b.column(0).to_pylist():
+            local = re.match(r"file:/+(.*)", path)
+            system, at = (fs.LocalFileSystem(), "/" + local[1]) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(at) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+
 def file_sha256(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(patterns))
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256): each file is hashed by one task from an open stream, a piece at a time, so a file may be of
+    any length. Tasks open files through pyarrow's file systems (local, HDFS, S3, GCS)."""
+    return list_files(spark, patterns).repartition("path").mapInArrow(stream_hashes, "path string, length long, sha256 string")
 
 
 def config_hash(config: Column) -> Column:
@@ -196,22 +299,40 @@ def quoted(c: Column) -> Column:
 
 
 def artifact_inventory(files: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """Files and bytes per group; the first matching rule wins and a file without a group is an error row."""
-    group = F.lit("unlisted")
+    """Files and bytes per group; the first matching rule wins. A file without a group is an error."""
+    group = F.lit(None).cast("string")
     for name, pattern in reversed(list(rules)):
         group = F.when(F.col("path").rlike(pattern), name).otherwise(group)
-    return files.groupBy(group.alias("artifact_group")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    named = files.select("*", group.alias("artifact_group"))
+    loose = named.filter("artifact_group IS NULL").select("path").head()
+    if loose:
+        raise ValueError(f"file without a group: {loose[0]}")
+    return named.groupBy("artifact_group").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 def run_stats(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("n_runs"), (F.sum("elapsed_sec") / 3600).alias("hours"), F.count(F.when(F.col("plan") == "tfidf", 1)).alias("n_tfidf_runs"))
 
 
-def append_ledger(runs: DataFrame, artifacts: DataFrame, path: str) -> None:
-    """One JSON line per run with the hashes of its files. `artifacts`: (run_id, path, sha256)."""
+def append_ledger(runs: DataFrame, artifacts: DataFrame, path: str, batch: str) -> bool:
+    """Add one JSON line per run with the hashes of its files; `artifacts`: (run_id, path, sha256).
+
+    Lines are written beside the ledger and renamed into it as a whole under the name `batch`. A batch that is there
+    already is left as it is, so a job may be repeated; a job that dies before the rename leaves nothing that is read.
+    """
     a = artifacts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("output_artifacts"))  # a few files per run
-    runs.select("run_id", F.lit("succeeded").alias("status"), F.lit(0).cast("bigint").alias("exit_code")).join(a, "run_id", "left").write.mode("append").json(path)
+    rows = runs.select("run_id", F.lit("succeeded").alias("status"), F.lit(0).cast("bigint").alias("exit_code")).join(a, "run_id", "left")
+    spark = runs.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    name = quote(batch, safe="")
+    final, pending = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"batch={name}", f"_pending-{name}-{uuid.uuid4().hex}"))
+    system = final.getFileSystem(conf)
+    if system.exists(final):
+        return False
+    rows.write.json(pending.toString())
+    return not system.exists(final) and bool(system.rename(pending, final))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER_SCHEMA).json(path)
+    """The lines of all committed batches."""
+    return spark.read.schema(LEDGER_SCHEMA).json(f"{path}/batch=*")
