@@ -27,9 +27,12 @@ DROP = RAW | set("head nav footer aside form header menu button select option sv
 #: Class, id or role words of boilerplate.
 BAD = re.compile(r"""(?:^|[\s"'_-])(?:ads?|advert\w*|banner|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|breadcrumbs?"""
                  r"""|newsletter|notice|notices|pager|pagination|popup|modal|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|navigation)(?:$|[\s"'_-])""", re.I)
-#: A class or id that consists of boilerplate words and these is boilerplate; others (`has-sidebar`, `with-menu`) name what is beside them.
-NEUTRAL = set("site page main global top bottom left right primary secondary post entry article box bar list section area block wrap wrapper container "
-              "inner outer item items link links group js".split())
+#: A part of a class or id after one of these names what is there or not (`has-sidebar`, `no-comments`), not the element itself.
+TOLD = set("has with no without".split())
+#: What readers say is never the text, however long it is; other boilerplate names are kept where most of the page's paragraphs are inside.
+READERS = re.compile(r"comments?|commentlist|disqus|replies")
+#: Elements that hold paragraph text.
+PROSE = {"p", "pre", "blockquote"}
 #: Headers of these hold the heading of the text.
 TITLED = set("post entry article page section".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -62,12 +65,37 @@ def boilerplate(names: str) -> bool:
         return False
     for name in names.lower().split():
         parts = [x for x in re.split("[-_]+", name) if x]
-        bad = {x for x in parts if BAD.fullmatch(x)}
-        if bad and all(x in bad or x in NEUTRAL or x.isdigit() for x in parts) and not (bad == {"header"} and TITLED & set(parts)):
+        told = next((i for i, x in enumerate(parts) if x in TOLD), len(parts))
+        bad = {x for x in parts[:told] if BAD.fullmatch(x)}
+        if bad and not (bad == {"header"} and TITLED & set(parts)):
             return True
     return False
 
 
+def wrappers(root: Node, named: list[Node]) -> None:
+    """Keep the elements with a boilerplate name that hold more than half of the page's paragraph text (a page's wrapper
+    may be called `sidebar-layout`)."""
+    inside_of: dict[int, int] = {}
+    whole, todo = 0, [(root, False, ())]
+    marked = {id(x) for x in named}
+    while todo:
+        x, prose, over = todo.pop()
+        prose = prose or x.tag in PROSE
+        over = (*over, id(x)) if id(x) in marked else over
+        for k in x.kids:
+            if not isinstance(k, str):
+                if not k.drop or id(k) in marked:
+                    todo.append((k, prose, over))
+            elif prose:
+                size = len(k.strip())
+                whole += size
+                for n in over:
+                    inside_of[n] = inside_of.get(n, 0) + size
+    for x in named:
+        if 2 * inside_of.get(id(x), 0) > whole:
+            x.drop = False
+
+
 def inside(node: Node | None, tags: tuple[str, ...]) -> Node | None:
     """The outermost of a node and its ancestors with one of the tags."""
     found = None
@@ -81,6 +109,7 @@ def inside(node: Node | None, tags: tuple[str, ...]) -> Node | None:
 def tree(html: str) -> Node:
     """A tolerant tree: text children are strings; unclosed and stray tags do no harm."""
     root = here = Node("html", None, False)
+    named: list[Node] = []  # dropped for their names alone
     at, end = 0, len(html)
     while at < end:
         m = MARKUP.search(html, at)
@@ -127,15 +156,21 @@ def tree(html: str) -> Node:
                         break
                 x = x.up
         drop = tag in DROP and not (tag == "header" and inside(here, ("article",)))  # an article's own header holds its heading
+        by_name = False
         if not drop and m[3]:
             for a in MARK.finditer(m[3]):
                 name = a[1].lower()
                 if name == "hidden" or name == "aria-hidden" and "true" in (a[2] or "").lower() or name in ("class", "id", "role") and a[2] and boilerplate(a[2].strip("\"'")):
                     drop = tag not in ("article", "main")
+                    by_name = drop and name in ("class", "id") and not READERS.search(a[2].lower())
                     break
         x = Node(tag, here, drop)
+        if by_name:
+            named.append(x)
         here.kids.append(x)
         here = x
+    if named:
+        wrappers(root, named)
     return root
 
 
