@@ -3,12 +3,14 @@
 Counts over whole texts are columns, and rules are predicates over counts. On a sample every count is timed and every
 rule's share of rejected rows is taken; the cascade asks the rules in descending order of rejection per cost, and a rule
 is not evaluated for a row that an earlier one rejected. The order changes cost and the reported reason, never the
-verdict.
+verdict. A count that is no result stands inside the branches that read it, not in a column below them.
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,31 +25,32 @@ SAMPLE_ROWS = 1_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A row is rejected where `rejects` holds; `counts` names what it reads."""
+    """A row is rejected where `test` holds for the counts it reads; `rejects` is the same in SQL."""
     name: str
     counts: tuple[str, ...]
     rejects: str
+    test: Callable[..., Column]
 
 
 #: Limits of the rules (parameters).
 BASE = (
-    Rule("few_words", ("n_words",), "n_words < 50"),
-    Rule("repeated_words", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 50 * n_words"),
+    Rule("few_words", ("n_words",), "n_words < 50", lambda n: n < 50),
+    Rule("repeated_words", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 50 * n_words", lambda n, r: 100 * r > 50 * n),
 )
 RULES = (
     *BASE,
-    Rule("word_length", ("n_words", "word_chars"), "word_chars > 14 * n_words OR word_chars < 2 * n_words"),
-    Rule("symbols", ("n_words", "n_symbols"), "5 * n_symbols > n_words"),
-    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "2 * n_dup_lines > n_lines"),
-    Rule("shouting", ("n_words", "n_shouted"), "10 * n_shouted > 3 * n_words"),
+    Rule("word_length", ("n_words", "word_chars"), "word_chars > 14 * n_words OR word_chars < 2 * n_words", lambda n, c: (c > 14 * n) | (c < 2 * n)),
+    Rule("symbols", ("n_words", "n_symbols"), "5 * n_symbols > n_words", lambda n, s: 5 * s > n),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "2 * n_dup_lines > n_lines", lambda n, d: 2 * d > n),
+    Rule("shouting", ("n_words", "n_shouted"), "10 * n_shouted > 3 * n_words", lambda n, s: 10 * s > 3 * n),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted")
 
 
 def prepared(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with the text, its words, lines, and hashes of every three words in a row."""
+    """(row, _t, _w, _l, _h): the whole row, the text, its words, its lines, and hashes of every three words in a row."""
     w = F.col("_w")
-    d = docs.withColumn("_t", text_or_empty(text_col)).withColumn("_w", F.array_remove(F.split("_t", f"[{SPACE}]+"), ""))
+    d = docs.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("_t")).withColumn("_w", F.array_remove(F.split("_t", f"[{SPACE}]+"), ""))
     d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     return d.withColumn("_h", F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
 
@@ -86,48 +89,68 @@ def count_columns() -> dict[str, Column]:
     return {n: c.cast("bigint") for n, c in found.items()}
 
 
+def rest_of(docs: DataFrame, names: Iterable[str]) -> list[Column]:
+    """The columns of `docs` that are not called like one of the results."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
+
+
 def counted(docs: DataFrame, text_col: str = "text", names: tuple[str, ...] = COUNTS) -> DataFrame:
-    """docs with the named counts. Null has no words; a line counts if it has a word; other columns stay."""
+    """docs with the named counts. Null has no words; a line counts if it has a word. Other columns stay, but a column
+    called like a count is replaced by it. Repeated rows are counted each; an empty table stays empty."""
     made = count_columns()
-    return prepared(docs, text_col).select(*[c for c in docs.columns if c not in names], *[made[n].alias(n) for n in names])
+    return prepared(docs, text_col).select(*rest_of(docs, names), *[made[n].alias(n) for n in names])
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per second on a hash sample of about `rows` rows; ties by name."""
+    """Rules by rejection per second on a hash sample of about `rows` rows; ties by name. A count's seconds are those of
+    a job over the sample less those of a job that counts nothing."""
     total = docs.count()
     share = min(1.0, rows / max(total, 1))
-    sample = docs.select(F.col(id_col), F.col(text_col)).filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("rules")), F.lit(1 << 20)) < int(share * (1 << 20))).cache()
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("rules")), F.lit(1 << 20))
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(draw < math.ceil(share * (1 << 20))).cache()
+
+    def seconds_of(value: Column) -> float:
+        began = time.perf_counter()
+        prepared(sample, "text").agg(F.sum(value)).first()
+        return time.perf_counter() - began
     try:
-        made = counted(sample, text_col, COUNTS)
-        seen = made.agg(F.count("*").alias("_n"), *[F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules]).first()
-        seconds = {}
-        for name in COUNTS:
-            began = time.perf_counter()
-            counted(sample, text_col, (name,)).agg(F.sum(name)).first()
-            seconds[name] = max(time.perf_counter() - began, 1e-3)
+        seen = counted(sample, "text").agg(F.count("*").alias("_n"), *[F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules]).first()
+        made = count_columns()
+        nothing = min(seconds_of(F.char_length("_t")) for _ in range(2))
+        seconds = {n: max(min(seconds_of(made[n]) for _ in range(2)) - nothing, 1e-3) for n in COUNTS}
     finally:
         sample.unpersist()
     n = max(seen["_n"], 1)
     return sorted(rules, key=lambda r: (-(seen[r.name] / n) / sum(seconds[c] for c in r.counts), r.name))
 
 
-def cascade(rules: list[Rule]) -> Column:
-    """Name of the first rule that rejects a row, null if none does; CASE stops at the first."""
+def cascade(rules: list[Rule], count: Callable[[str], Column] = F.col) -> Column:
+    """Name of the first rule that rejects a row, null if none does; CASE stops at the first. `count` gives a count."""
     out = None
     for r in rules:
-        out = F.when(F.expr(r.rejects), F.lit(r.name)) if out is None else out.when(F.expr(r.rejects), F.lit(r.name))
+        test = r.test(*[count(n) for n in r.counts])
+        out = F.when(test, F.lit(r.name)) if out is None else out.when(test, F.lit(r.name))
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all counts and `rejected_by` (null: kept)."""
-    return counted(docs, text_col).withColumn("rejected_by", cascade(ordered(docs, rules, id_col, text_col)))
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", returned: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the `returned` counts and `rejected_by` (null: kept).
+
+    Only the returned counts are columns that every row has. Any other count stands inside the branch of the rule that
+    reads it, so it is evaluated only for the rows that reach this rule. Nulls, repeated rows, empty tables and clashing
+    names as in `counted`.
+    """
+    made = count_columns()
+    known = prepared(docs, text_col).select("*", *[made[n].alias(f"_{n}") for n in returned])
+    by = cascade(ordered(docs, rules, id_col, text_col), lambda n: F.col(f"_{n}") if n in returned else made[n])
+    return known.select(*rest_of(docs, (*returned, "rejected_by")), *[F.col(f"_{n}").alias(n) for n in returned], by.alias("rejected_by"))
 
 
 def op8_quality_rules(spark, sf_dir):
-    docs = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), returned=names)
     base = F.expr(" OR ".join(f"({r.rejects})" for r in BASE))
-    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+    return docs.select("doc_id", *names, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 ORACLE = r"""

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gapcube.llm import bpe, chat, html, ordinal, rules, toxicity
@@ -136,6 +137,25 @@ def test_order_of_rules_never_changes_the_verdict(spark):
     assert kept[0] == kept[1] == {4}
 
 
+def test_rules_ask_only_what_they_need(spark, monkeypatch):
+    """Counts that are no result are evaluated in the branch of their rule, for the rows that reach it."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10 if i else 60)), "kept", 7) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _t string, n_words int").withColumn("row", F.lit(1))
+    monkeypatch.setattr(rules, "ordered", lambda *a: list(rules.RULES))  # short texts are rejected first
+    made = rules.count_columns()
+    failing = {**made, "n_shouted": F.raise_error(F.lit("evaluated")).cast("bigint")}
+    monkeypatch.setattr(rules, "count_columns", lambda: failing)
+    out = rules.judged(docs.filter("doc_id > 0"), returned=("n_words",))
+    assert out.columns == ["doc_id", "text", "_t", "row", "n_words", "rejected_by"]
+    assert {tuple(r)[2:] for r in out.collect()} == {("kept", 1, 10, "few_words")}  # nothing reached the last rule
+    with pytest.raises(Exception, match="evaluated"):
+        rules.judged(docs.filter("doc_id = 0")).collect()
+    monkeypatch.setattr(rules, "count_columns", lambda: made)
+    plan = rules.judged(docs, returned=("n_words",))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("CASE" in line for line in plan.splitlines() if "regexp_count" in line.lower() or "RegExpExtractAll" in line or "\\p{Lu}" in line) and "Lu}" in plan
+    assert rules.judged(docs.limit(0)).count() == 0
+
+
 LONG = ["Paragraph %d, " % k + "with words, and commas, " * 80 + "end." for k in range(10)]
 BODY = "".join(f"<p>{p}</p>" for p in LONG)
 
@@ -158,3 +178,38 @@ def test_html_loses_nothing_of_the_article(page, rest):
 def test_html_links_beside_the_body_are_left_out():
     page = f"<article><h1>Top</h1><ul><li><a href=/1>One link</a></li><li><a href=/2>Another link</a></li></ul><div>{BODY}</div></article>"
     assert html.extract(page) == "\n".join(["Top", *LONG])
+
+
+JUNK = ["reader-comments", "user-comments", "comment-body", "comment-thread", "ad-slot", "advert-unit", "newsletter-signup", "share-buttons", "related-posts", "related-articles",
+        "social-media", "subscribe-form", "sponsored-content", "ads", "post-footer", "comments comments--nested"]
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("name", JUNK)
+def test_html_drops_what_its_name_gives_away(tag, name):
+    junk = f"<{tag} class='{name}'><p>Words, of no use, to the text, and many, of them, here.</p><{tag}><p>And, nested, more, of the same, again.</p></{tag}></{tag}>"
+    half = len(LONG) // 2
+    inner = "".join(f"<p>{p}</p>" for p in LONG[:half]) + junk + "".join(f"<p>{p}</p>" for p in LONG[half:]) + junk
+    for page in (f"<article>{inner}</article>{junk}", f"<main><div>{inner}</div></main>", f"<article id='post'><h1>Top</h1>{inner}</article>"):
+        assert html.extract(f"<html><body>{page}</body></html>").removeprefix("Top\n") == "\n".join(LONG)
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-menu", "no-comments", "sidebar-layout", "page-with-nav", "banner-page", "widget-content", "site-header-fixed"])
+def test_html_keeps_wrappers(name):
+    inner = f"<div class='sidebar'><p>Beside it, some words, of no use.</p></div><h1>Top</h1><div class=content>{BODY}</div>"
+    assert html.extract(f"<html><body><div class='{name}'>{inner}</div></body></html>") == "\n".join(["Top", *LONG])
+
+
+def test_html_drops_a_thread_longer_than_the_text():
+    thread = "".join(f"<div class='comment'><p>{p}</p></div>" for p in LONG * 2)
+    assert html.extract(f"<body><article>{BODY}<div class='comments-area'>{thread}</div></article></body>") == "\n".join(LONG)
+
+
+def test_html_of_odd_pages(spark):
+    long_ = "<article>" + "".join(f"<p>Sentence {k}, with words, and more.</p>" for k in range(60_000)) + "</article>"
+    rows = [(1, "u", long_), (2, "u", None), (3, None, ""), (None, "u", "<p>Same, text, here, and there.</p><div><p>Same, text, here, and there.</p></div>"), (4, "u", "<" * 2000), (4, "u", "<" * 2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
+    got = {r.page_id: r for r in html.extract_pages(df).collect()}
+    assert got[1].text.count("\n") == 59_999 and got[1].n_chars == len(got[1].text)
+    assert got[2].text == got[3].text == "" and got[None].text.startswith("Same")
+    assert html.extract_pages(df).count() == 6 and html.extract_pages(df.limit(0)).count() == 0
