@@ -169,6 +169,14 @@ def system_ranges(results: DataFrame, columns: Sequence[str], lo: str, hi: str)
                        F.count(F.when(F.col(lo) > 0, 1)).alias("ci_positive"), F.count(F.when(F.col(hi) < 0, 1)).alias("ci_negative"))
 
 
+def deviation_ranges(results: DataFrame, column: str, seeds: str) -> DataFrame:
+    """Range of a column and the largest jackknife deviation, over all systems and over those with several seeds."""
+    kinds = F.array_compact(F.array(F.lit("all"), F.when(F.col(seeds) > 1, "multi_seed")))
+    return results.select("*", F.explode(kinds).alias("kind")).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_systems"), F.min(column).alias(f"{column}_min"), F.max(column).alias(f"{column}_max"),
+        (F.max(column) - F.min(column)).alias(f"{column}_spread"), F.max("max_deviation").alias("max_deviation"))
+
+
 def rare_bands(runs: DataFrame) -> DataFrame:
     """Rare-class F1 against the reweighting term, by F1 band."""
     f = F.col("pooled_id_f1")

@@ -155,6 +155,20 @@ def run_composition(arms: DataFrame, est: DataFrame, rare: str) -> DataFrame:
     return said.join(p, ["model", "seed"]).join(d, ["model", "seed"])
 
 
+RECIPE_TERMS = ("E0D", "E1", "E2", "E3", "MC")
+
+
+def recipes_on_shared_seeds(rows: DataFrame, contrib: DataFrame, first: str, second: str) -> DataFrame:
+    """Two recipes (models) over the seeds that both have: mean terms of each, and over how many events its mean E2 is
+    positive. `rows` (model, seed, terms), one per run; `contrib` (model, event, seed, x)."""
+    both = rows.filter(F.col("model").isin(first, second))
+    shared = both.groupBy("seed").agg(F.countDistinct("model").alias("k")).filter("k = 2").select("seed")
+    terms = both.join(shared, "seed").groupBy("model").agg(F.count(F.lit(1)).alias("n_seeds"), *[F.avg(c).alias(c) for c in RECIPE_TERMS])
+    events = contrib.filter(F.col("model").isin(first, second)).join(shared, "seed").groupBy("model", "event").agg(F.avg("x").alias("x"))
+    positive = events.groupBy("model").agg(F.count(F.when(F.col("x") > 1e-12, 1)).alias("events_positive"), F.count(F.lit(1)).alias("n_events"), F.avg("x").alias("event_mean"))
+    return terms.join(positive, "model")
+
+
 def incomplete_runs(events: DataFrame, complete: DataFrame, unit: str = "system") -> DataFrame:
     """Each run of an incomplete seed beside the mean and range of complete seeds on that event.
 

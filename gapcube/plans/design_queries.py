@@ -192,6 +192,15 @@ def _(fx):
     return rounded(x.groupBy("model").agg(*[f(c).alias(f"{c}_{n}") for c in ("E0D", "E1", "E2", "E3", "MC") for n, f in (("min", F.min), ("max", F.max))], F.count(F.lit(1)).alias("n_seeds")))
 
 
+@query("ES12_recipes_on_shared_seeds", EST + """, xe AS (SELECT a.model, a.seed, a.event, a.f1_P-b.f1_P AS x FROM asc__ev a JOIN asc__ev b USING (model, seed, event) WHERE a.arm='a' AND b.arm='b'),
+ sh AS (SELECT seed FROM es WHERE model IN ('mA', 'mB') GROUP BY seed HAVING count(DISTINCT model)=2), t AS (SELECT p.model, count(*) AS n_seeds, avg(d.E0) AS E0D, avg(p.E1) AS E1, avg(p.E2) AS E2, avg(p.E3) AS E3, avg(p.MC) AS MC FROM es p JOIN es d USING (model, seed) JOIN sh USING (seed) WHERE p.conv='P' AND d.conv='D' GROUP BY ALL),
+ v AS (SELECT model, event, avg(x) AS x FROM xe JOIN sh USING (seed) GROUP BY ALL), w AS (SELECT model, count(*) FILTER (x>1e-12) AS events_positive, count(*) AS n_events, avg(x) AS em FROM v GROUP BY ALL)
+ SELECT model, n_seeds, """ + ", ".join(S.r(c, c) for c in E.RECIPE_TERMS) + f", events_positive, n_events, {S.r('em', 'event_mean')} FROM t JOIN w USING (model)")
+def _(fx):
+    rows = E.run_composition(fx.arms, E.estimands_of(fx.arms), "error")
+    return rounded(E.recipes_on_shared_seeds(rows, contrib(fx), "mA", "mB"))
+
+
 INCOMPLETE = "cube WHERE NOT (system='sysB' AND seed='1' AND event >= 'NATION_3')"
 
 
@@ -596,6 +605,16 @@ def _(fx):
     return rounded(K.ls_concentration(E.metric_convention(events_of(fx))))
 
 
+@query("K13_jackknife_and_seeds", JACK + """, a AS (SELECT system, avg(A_P) AS w, count(*) AS k FROM sc GROUP BY ALL), j AS (SELECT system, left_out, avg(A_P) AS v FROM jk GROUP BY ALL), d AS (SELECT system, max(abs(v-w)) AS d FROM j JOIN a USING (system) GROUP BY ALL)
+ SELECT kind, count(*) AS n_systems, """ + ", ".join((S.r("min(w)", "A_P_min"), S.r("max(w)", "A_P_max"), S.r("max(w)-min(w)", "A_P_spread"), S.r("max(d)", "max_deviation"))) + " FROM (SELECT 'all' AS kind, * FROM a JOIN d USING (system) UNION ALL SELECT 'multi_seed', * FROM a JOIN d USING (system) WHERE k>1) GROUP BY kind")
+def _(fx):
+    """Ranges and the largest jackknife deviation over all systems, and over those with more than one seed."""
+    jk = R.jackknife(fx.features).groupBy("system", "left_out").agg(F.avg("A_P").alias("A_P"))
+    seeds = fx.cube.select("system", "seed").distinct().groupBy("system").agg(F.count(F.lit(1)).alias("k"))
+    full = C.system_scores(fx.cube)
+    return rounded(K.deviation_ranges(full.join(R.jackknife_summary(jk, full), "system").join(seeds, "system"), "A_P", "k"))
+
+
 @query("K13_system_ranges", BOOT + ", " + S.sums("pcs", "ft", "system, seed") + ", " + S.scores("pt", "pcs", "system, seed")
        + ", pm AS (SELECT system, " + ", ".join(f"avg({c}) AS {c}" for c in ("A_P", "A_D", "A_O", "T3", "T4")) + " FROM pt GROUP BY system), ci AS (SELECT system, quantile_cont(A_P,0.025) AS lo, quantile_cont(A_P,0.975) AS hi FROM bt GROUP BY system) SELECT count(*) AS n_systems, "
        + ", ".join(f"{S.r(f'min({c})', f'{c}_min')}, {S.r(f'max({c})', f'{c}_max')}, {S.r(f'max({c})-min({c})', f'{c}_spread')}, count(*) FILTER ({c}<0) AS {c}_negative" for c in ("A_P", "A_D", "A_O", "T3", "T4"))
