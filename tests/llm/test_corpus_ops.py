@@ -2,6 +2,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,9 +220,13 @@ def test_pipeline_against_brute_force(spark):
     for i in sorted(left):
         last[(left[i] or "").translate(UP)] = i
     left = {i: left[i] for i in sorted(last.values())}
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["exact_dedup"](spark, stages["toxicity"](spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA), DATA)
+    assert {r.doc_id for r in kept.collect()} == set(left)
     ids = list(left)
-    top = components_of([fingerprint(left[i]) for i in ids])
+    top = near_components([left[i] or "" for i in ids])
     left = {i: left[i] for k, i in enumerate(ids) if top[k] == k}
+    assert {r.doc_id for r in stages["simhash_near_dedup"](spark, kept, DATA).collect()} == set(left)
     cut = uncovered(left.values(), 200)
     final = [(i, bytes(np.frombuffer(b, np.uint8)[~g]).decode("utf-8", "ignore")) for i, (b, g) in zip(left, cut)]
     used, least = check_packed(corpus_pipeline.run(spark, DATA).collect(), final, 2048)
@@ -239,15 +244,33 @@ def test_exact_dedup_agrees_with_sql(spark):
 
 def similarity(a, b):
     def of(t):
-        w = t.lower().split()
+        w = t.translate(UP).replace("\x0b", " ").replace("\x0c", " ")
+        w = [x for x in re.split("[ \t-\r]+", w) if x]
         return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
     x, y = of(a), of(b)
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-@pytest.mark.parametrize("sample", [4096, 1])  # all shared shingles are known as common, or none
-def test_near_copies_of_every_similarity(spark, monkeypatch, sample):
+def near_components(texts):
+    """Smallest index of each text's component, by all pairs of five-word shingle sets."""
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("sample, turns", [(4096, 3), (1, 0)])  # all shared shingles are known as common, or none; some pairs left to the end, or all
+def test_near_copies_of_every_similarity(spark, monkeypatch, sample, turns):
     monkeypatch.setattr(shingles, "SAMPLE", sample)
+    monkeypatch.setattr(shingles, "TURNS", turns)
     rng = random.Random(7)
     words = ["w%d" % i for i in range(3000)]
     docs = []
